@@ -4,8 +4,9 @@ The ordinary dictionary holds the most frequent words of ordinary training texts
 beginnings of words that are typical of toxic training texts. The windows are the words of the text: each is set
 between two fixed strings that both dictionaries hold, so that a block is always worth compressing and the difference of
 the two lengths depends on the word alone; letters take two bytes, which doubles a match against the fixed cost of a
-sequence. The bytes that the toxic dictionary saves on the best windows of a text give a statistic, and its threshold is
-calibrated on labelled documents that neither dictionary has seen, through a monotone logistic curve.
+sequence. The bytes that the toxic dictionary saves on the windows of a text give features (the best window, how many
+save, how densely), and the threshold is calibrated on labelled documents that the dictionaries have not seen, through a
+logistic curve.
 """
 
 from __future__ import annotations
@@ -28,8 +29,11 @@ SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1500, 3000, 40_000
 ORDINARY_CHARS, TOXIC_CHARS = 12_000, 2_000
 #: Strings less typical than this share of the most typical one stay out of the toxic dictionary.
 LEAST_SHARE = 0.25
+#: Nor do strings whose log-odds of occurring in a toxic text against an ordinary one are lower.
+LEAST_ODDS = 2.0
 PREFIX = 6
-TOP = 3
+#: Bytes saved from which a window counts as a hit.
+HIT = 3
 MEMO = 400_000
 WORD = re.compile(r"[^\W\d_]{2,64}")
 LETTERS = "utf-16-le"
@@ -53,12 +57,11 @@ def windows(ordinary: str, toxic: str) -> tuple:
 
 @dataclass
 class Model:
-    """Contents of the dictionaries, and score = 1 / (1 + exp(-(slope * statistic + intercept)))."""
+    """Contents of the dictionaries, and the weights of the logistic curve over the features of a text."""
 
     ordinary: str
     toxic: str
-    slope: float
-    intercept: float
+    weights: list[float]
 
     def savings(self, text: str) -> list[int]:
         """Bytes that the toxic dictionary saves on each window of the whole text."""
@@ -75,13 +78,15 @@ class Model:
             out.append(saved)
         return out
 
-    def statistic(self, text: str) -> float:
-        """The largest saving, and a quarter of the next ones; 0 for a text without words."""
-        best = sorted(self.savings(text), reverse=True)[:TOP]
-        return max(0.0, best[0] + 0.25 * sum(max(0, x) for x in best[1:])) if best else 0.0
+    def features(self, text: str) -> list[float]:
+        """1, the best saving, the number of hits on a log scale, hits per hundred windows (at most 20)."""
+        saved = self.savings(text)
+        hits = sum(x >= HIT for x in saved)
+        return [1.0, float(max(0, max(saved, default=0))), math.log1p(hits), min(20.0, 100.0 * hits / max(10, len(saved)))]
 
     def score(self, text: str) -> float:
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.slope * self.statistic(text) + self.intercept))))
+        z = sum(w * x for w, x in zip(self.weights, self.features(text), strict=True))
+        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def substrings(texts: list[str]) -> Counter:
@@ -110,7 +115,7 @@ def typical(toxic: list[str], ordinary: list[str], size: int = TOXIC_CHARS) -> s
     a, b = substrings(toxic), substrings(ordinary)
     na, nb = max(1, len(toxic)), max(1, len(ordinary))
     odds = {w: math.log((n + 0.5) / (na + 1)) - math.log((b[w] + 0.5) / (nb + 1)) for w, n in a.items() if n >= max(3, na // 40)}
-    weight = {w: o * math.sqrt(a[w]) for w, o in odds.items() if o > 2.0 and b[w] <= a[w] * nb / na / 20}
+    weight = {w: o * math.sqrt(a[w]) for w, o in odds.items() if o > LEAST_ODDS}
     ranked = sorted(weight, key=lambda w: (-weight[w], w))
     kept: list[str] = []
     for w in ranked:  # of strings within each other one stays: the longest that is nearly as frequent
@@ -121,31 +126,36 @@ def typical(toxic: list[str], ordinary: list[str], size: int = TOXIC_CHARS) -> s
     return "".join(reversed([w for w in kept if weight[w] >= LEAST_SHARE * weight[ranked[0]]][: size // (PREFIX + 1)]))
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (never negative) and intercept of a lightly penalised logistic fit; calling an ordinary text toxic weighs thrice."""
-    if not len(x) or y.min() == y.max():
-        return 1.0, -3.0
+#: The curve where labels of both classes are missing.
+FALLBACK = [-4.0, 0.3, 1.0, 0.0]
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Lightly penalised logistic weights; calling an ordinary text toxic weighs thrice."""
+    if not len(y) or y.min() == y.max():
+        return FALLBACK
     weight = np.where(y == 1, 0.25 / (y == 1).sum(), 0.75 / (y == 0).sum())
-    a, b = 0.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([(weight * (p - y) * x).sum() + 1e-3 * a, (weight * (p - y)).sum() + 1e-6 * b])
-        w = weight * p * (1 - p) + 1e-9
-        h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
+    w, ridge = np.zeros(x.shape[1]), np.diag([1e-6, *[1e-4] * (x.shape[1] - 1)])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (weight * (p - y)) + ridge @ w
+        h = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge
         step = np.clip(np.linalg.solve(h, g), -2, 2)
-        a, b = a - step[0], b - step[1]
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return (float(a), float(b)) if a > 0 else (1.0, -3.0)
+    return w.tolist()
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries from the even texts of each class, calibration on the odd ones."""
-    model = Model(frequent(ordinary[::2]), typical(toxic[::2], ordinary[::2]), 1.0, -3.0)
-    check = [(model.statistic(t), 1) for t in toxic[1::2]] + [(model.statistic(t), 0) for t in ordinary[1::2]]
+    """Dictionaries from all texts; the curve from each half's texts under dictionaries of the other half."""
+    check: list[tuple[list[float], int]] = []
+    for k in (0, 1):
+        half = Model(frequent(ordinary[k::2]), typical(toxic[k::2], ordinary[k::2]), FALLBACK)
+        check += [(half.features(t), 1) for t in toxic[1 - k :: 2]] + [(half.features(t), 0) for t in ordinary[1 - k :: 2]]
+    model = Model(frequent(ordinary), typical(toxic, ordinary), FALLBACK)
     if check:
-        x, y = (np.array(c, dtype=float) for c in zip(*check, strict=True))
-        model.slope, model.intercept = logistic(x, y)
+        model.weights = logistic(np.array([c for c, _ in check]), np.array([c for _, c in check], dtype=float))
     return model
 
 
