@@ -22,8 +22,10 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import regex
+import pandas as pd
 from pyspark.sql import DataFrame
 
+from gaugework.functions.shipping import ship
 from gaugework.llm.common import map_rows
 
 # Fixed value: the word pattern of the byte-level pre-tokenizer.
@@ -241,9 +243,10 @@ def encode_column(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
 
 def decode_column(ids: DataFrame, vocabulary: str, key: str = "doc_id", column: str = "ids") -> DataFrame:
     """The text of an id array: key, text. A null array is an empty one."""
-    import pandas as pd
     from pyspark.sql import functions as F
 
+    ship(ids.sparkSession)
+
     @F.pandas_udf("string")
     def text(column: pd.Series) -> pd.Series:
         return column.map(lambda x: codec(vocabulary).decode([] if x is None else x))

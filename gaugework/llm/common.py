@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugework.functions.shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,6 +57,7 @@ def map_rows(df: DataFrame, keys: list[str], text: str, schema: str, row: Callab
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    ship(df.sparkSession)
     types = [f.type for f in to_arrow_schema(StructType.fromDDL(schema))]
     kept = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     return df.select(*keys, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{kept}, {schema}")

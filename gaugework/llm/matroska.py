@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
+from gaugework.functions.shipping import ship
 from gaugework.llm.common import map_rows
 
 # Fixed values of the container format: element identifiers.
@@ -302,6 +303,7 @@ def packet_table(media: DataFrame, key: str, content: str) -> DataFrame:
             names = [key, "packet", *Packet._fields]
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=pa.schema([pa.field(key, batch.schema.field(0).type), *(pa.field(n, pa.bool_() if n == "keyframe" else pa.int64()) for n in names[1:])]))
 
+    ship(media.sparkSession)
     kind = media.schema[key].dataType.simpleString()
     rest = ", ".join(f"{n} {'boolean' if n == 'keyframe' else 'bigint'}" for n in Packet._fields)
     return media.select(key, content).mapInArrow(run, f"`{key}` {kind}, packet bigint, {rest}")

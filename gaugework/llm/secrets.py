@@ -15,9 +15,11 @@ import random
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugework.functions.shipping import ship
 from gaugework.llm.common import map_rows
 
 # The base patterns.
@@ -170,8 +172,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Markov
 
 def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Markov | None = None) -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced; null stays null, all other columns stay as they are."""
-    import pandas as pd
-
+    ship(docs.sparkSession)
     fitted = model or fit(docs, key, text)
 
     @F.pandas_udf("string")

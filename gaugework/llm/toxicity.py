@@ -18,10 +18,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugework.functions.shipping import ship
 from gaugework.llm.common import held_out, map_rows
 
 #: Bounds of the training sample: labelled documents by class, and the longest text taken into it.
@@ -193,7 +195,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def without(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that aren't toxic, with all their columns."""
-    import pandas as pd
+    ship(docs.sparkSession)
 
     @F.pandas_udf("double")
     def toxic(column: pd.Series) -> pd.Series:
