@@ -13,12 +13,13 @@ State is bounded: the pool holds at most POOL remainders, each shorter than a wi
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -26,18 +27,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugework.functions.shipping import ship
 from gaugework.llm.bpe import little_endian
 
 WINDOW = 2048
 POOL = 2048
 END_ID = 1
-MEMO = 400_000
+MEMO = 1_000_000
 
 _LETTERS = "a-zªµºß-öø-ſ"
 _DIGITS = "0-9²³¹¼½¾"
-#: The word pattern of the vocabulary over lower-cased text of the characters in PLAIN.
+#: The words of the vocabulary in lower-cased Latin text.
 PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+")
-#: Latin text: composed already, lower-cased letter by letter, and with the same white space in every library.
+#: What isn't Latin text that is composed already, lower-cased letter by letter, and has the same white space in every library.
 NOT_PLAIN = re.compile("[^\t-\r -~\xa0-įı-ňŊ-ſ]|<\\|")
 
 
@@ -61,20 +63,26 @@ class Words:
         self.tokenizer.no_padding()
         self.memo: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
-        found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(word) <= 64:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = found
-        return found
+    def _learn(self, missing: list[str]) -> None:
+        """Put words into the memo, all in one call: set apart by spaces, each is one word of the library."""
+        encoded = self.tokenizer.encode(" ".join(missing), add_special_tokens=False)
+        packed = array("I", encoded.ids).tobytes()
+        ends = [4 * k for k, (a, b) in enumerate(pairwise([*encoded.word_ids, -1]), 1) if a != b]
+        for word, start, end in zip(missing, [0, *ends], ends, strict=False):
+            self.memo[word] = packed[start:end]
 
     def encode(self, text: str) -> bytes:
         """Packed native 32-bit ids."""
-        if NOT_PLAIN.search(text) or not unicodedata.is_normalized("NFC", text):
+        if NOT_PLAIN.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        known, word = self.memo.get, self._word
-        return b"".join([known(w) or word(w) for w in PLAIN_WORDS.findall(text.lower())])
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        found = PLAIN_WORDS.findall(text.lower())
+        packed = [*map(self.memo.get, found)]
+        if None in packed:
+            self._learn([*dict.fromkeys(w for w, ids in zip(found, packed, strict=True) if ids is None)])
+            packed = map(self.memo.__getitem__, found)
+        return b"".join(packed)
 
 
 @lru_cache(maxsize=2)
@@ -82,21 +90,24 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-def fill(counts: dict[int, int], capacity: int) -> tuple[int, dict[int, int]]:
+def fill(lengths: list[int], count: Callable[[int], int], capacity: int) -> tuple[int, dict[int, int]]:
     """The largest sum not over ``capacity`` of a multiset of lengths, and how often each length is taken.
 
-    ``counts`` says how many of each length there are. Bit s of a table says that sum s can be reached; one table is
-    kept for each bundle of 1, 2, 4 ... equal lengths, and the sums are traced back through them.
+    ``lengths`` rises, and ``count`` says how many there are of each. Bit s of a table says that sum s can be reached;
+    one table is kept for each bundle of 1, 2, 4 ... equal lengths, and the sums are traced back through them.
     """
     tables, bundles, mask = [1], [], (1 << capacity + 1) - 1
-    for length in sorted((x for x in counts if x <= capacity), reverse=True):
-        left, size = min(counts[length], capacity // length), 1
-        while left and not tables[-1] >> capacity & 1:
+    for k in range(bisect_right(lengths, capacity) - 1, -1, -1):
+        length = lengths[k]
+        left, size = min(count(length), capacity // length), 1
+        while left:
             n = min(size, left)
             tables.append(tables[-1] | tables[-1] << n * length & mask)
             bundles.append((length, n))
             left -= n
             size *= 2
+        if tables[-1] >> capacity & 1:
+            break
     best = target = tables[-1].bit_length() - 1
     taken: dict[int, int] = defaultdict(int)
     for k in range(len(bundles), 0, -1):
@@ -114,7 +125,8 @@ class Packer:
 
     def __init__(self, first: int = 0, window: int = WINDOW, pool: int = POOL):
         self.next, self.window, self.pool = first, window, pool
-        self.by_length: dict[int, list[Piece]] = defaultdict(list)
+        self.by_length: dict[int, list[Piece]] = {}
+        self.lengths: list[int] = []
         self.waiting = 0
         self.out: list[tuple] = []
 
@@ -138,7 +150,11 @@ class Packer:
         if p.length == self.window:
             self.emit([p])
         else:
-            self.by_length[p.length].append(p)
+            if p.length in self.by_length:
+                self.by_length[p.length].append(p)
+            else:
+                self.by_length[p.length] = [p]
+                insort(self.lengths, p.length)
             self.waiting += 1
 
     def _take(self, length: int) -> Piece:
@@ -146,6 +162,7 @@ class Packer:
         p = found.pop()
         if not found:
             del self.by_length[length]
+            del self.lengths[bisect_left(self.lengths, length)]
         self.waiting -= 1
         return p
 
@@ -157,12 +174,12 @@ class Packer:
 
     def sequence(self) -> None:
         """Fill one window from the pool, which must hold something."""
-        longest = self._take(max(self.by_length))
+        longest = self._take(self.lengths[-1])
         slack = self.window - longest.length
-        best, taken = fill({n: len(p) for n, p in self.by_length.items()}, slack)
+        best, taken = fill(self.lengths, lambda n: len(self.by_length[n]), slack)
         pieces = [longest, *(self._take(n) for n in sorted(taken, reverse=True) for _ in range(taken[n]))]
-        if (slack := slack - best) and self.by_length:  # every remainder that is left is longer than the slack
-            pieces.append(self._cut(self._take(max(self.by_length)), slack))
+        if (slack := slack - best) and self.lengths:  # every remainder that is left is longer than the slack
+            pieces.append(self._cut(self._take(self.lengths[-1]), slack))
         self.emit(pieces) if sum(p.length for p in pieces) == self.window else self._tail(pieces)
 
     def _tail(self, pieces: list[Piece]) -> None:
@@ -198,6 +215,7 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     A null or empty text is its end id alone. Repeated rows are documents of their own. An empty table gives no rows.
     A sequence id is the number of the partition times 2**40 plus a count, so a task that runs again gives the same.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
