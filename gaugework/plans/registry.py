@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gaugework.errors import NotFoundError  # noqa: F401  tests name it
 from gaugework.operators import components as C
 from gaugework.operators import functions as Fn
 from gaugework.operators import rules as R
