@@ -25,24 +25,27 @@ def file_totals(files: DataFrame) -> DataFrame:
 
 
 def relationships(imports: DataFrame) -> DataFrame:
-    """Per (source, target): referencing files by kind, packages, import sites; imports within a component are none.
+    """Per (source, target): referencing files by kind and packages; imports within a component are none.
 
-    A relationship is test-only if no production file has it.
+    A relationship is test-only if no production file has it. Files are counted once before relationships are, so no row
+    is copied for a distinct count; the sets hold packages, not import sites, which stay rows (import_sites).
     """
-    site = F.struct("path", "line", "target_package", "alias", "source_package", "test")
+    per_file = imports.filter("source <> target").groupBy("source", "target", "path").agg(
+        F.bool_or(~F.col("test")).alias("production"), F.bool_or("test").alias("tested"), F.collect_set("source_package").alias("sp"), F.collect_set("target_package").alias("tp"), F.count("*").alias("n")
+    )
+    merged = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_set(c))))
     return (
-        imports.filter("source <> target").groupBy("source", "target").agg(
-            F.countDistinct(F.when(~F.col("test"), F.col("path"))).alias("production_files"),
-            F.countDistinct(F.when(F.col("test"), F.col("path"))).alias("test_files"),
-            F.sort_array(F.collect_set("source_package")).alias("source_packages"),
-            F.sort_array(F.collect_set(F.when(~F.col("test"), F.col("source_package")))).alias("production_source_packages"),
-            F.sort_array(F.collect_set(F.when(F.col("test"), F.col("source_package")))).alias("test_source_packages"),
-            F.sort_array(F.collect_set("target_package")).alias("target_packages"),
-            F.sort_array(F.collect_list(site)).alias("import_sites"),
+        per_file.groupBy("source", "target").agg(
+            F.count_if("production").alias("production_files"), F.count_if("tested").alias("test_files"), merged("sp").alias("source_packages"), merged("tp").alias("target_packages"), F.sum("n").alias("sites"),
         ).withColumn("test_only", F.col("production_files") == 0)
     )
 
 
+def import_sites(imports: DataFrame) -> DataFrame:
+    """The import sites of relationships as rows; in order when sorted by all columns."""
+    return imports.filter("source <> target").select("source", "target", "path", "line", "target_package", "alias", "source_package", "test")
+
+
 def production_edges(rels: DataFrame) -> DataFrame:
     return rels.filter(~F.col("test_only")).select(F.col("source").alias("src"), F.col("target").alias("dst"))
 
@@ -52,21 +55,16 @@ def identifiers(files: DataFrame, imports: DataFrame) -> DataFrame:
     return files.select(F.col("component").alias("id")).union(imports.select("source")).union(imports.select("target")).distinct()
 
 
-def coupling(ids: DataFrame, rels: DataFrame) -> DataFrame:
+def coupling(ids: DataFrame, rels: DataFrame, imports: DataFrame) -> DataFrame:
     """Per component: dependencies and importers by kind, importer packages by kind."""
     outgoing = rels.groupBy("source").agg(
         F.count("*").alias("direct_dependencies"), F.count_if(~F.col("test_only")).alias("efferent"), F.count_if("test_only").alias("test_only_dependencies")
     )
-    incoming = rels.groupBy("target").agg(
-        F.count("*").alias("direct_importers"),
-        F.count_if(~F.col("test_only")).alias("afferent"),
-        F.count_if("test_only").alias("test_only_importers"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("source_packages")))).cast("bigint").alias("importer_packages"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("production_source_packages")))).cast("bigint").alias("production_importer_packages"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("test_source_packages")))).cast("bigint").alias("test_importer_packages"),
-    )
-    joined = ids.join(outgoing, F.col("id") == F.col("source"), "left").join(incoming, F.col("id") == F.col("target"), "left").drop("source", "target")
-    return joined.na.fill(0)
+    incoming = rels.groupBy("target").agg(F.count("*").alias("direct_importers"), F.count_if(~F.col("test_only")).alias("afferent"), F.count_if("test_only").alias("test_only_importers"))
+    packages = imports.filter("source <> target").groupBy(F.col("target").alias("user"), "source_package").agg(F.bool_or(~F.col("test")).alias("production"), F.bool_or("test").alias("tested"))
+    packages = packages.groupBy("user").agg(F.count("*").alias("importer_packages"), F.count_if("production").alias("production_importer_packages"), F.count_if("tested").alias("test_importer_packages"))
+    joined = ids.join(outgoing, F.col("id") == F.col("source"), "left").join(incoming, F.col("id") == F.col("target"), "left").join(packages, F.col("id") == F.col("user"), "left")
+    return joined.drop("source", "target", "user").na.fill(0)
 
 
 def reach_counts(reach: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +105,7 @@ def build(files: DataFrame, imports: DataFrame, descriptors: DataFrame) -> Compo
     d = descriptors.toDF(*(f"d_{c}" for c in descriptors.columns))
     t = file_totals(files)
     rows = (
-        coupling(ids, rels)
+        coupling(ids, rels, imports)
         .join(d, F.col("id") == F.col("d_id"), "left").join(t, F.col("id") == F.col("component"), "left").drop("component")
         .join(forward, F.col("id") == F.col("src"), "left").drop("src").join(backward, F.col("id") == F.col("dst"), "left").drop("dst")
         .join(apps, F.col("id") == F.col("used"), "left").drop("used")

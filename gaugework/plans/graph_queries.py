@@ -101,12 +101,12 @@ query("agg_01", "SELECT * FROM {o_files}")(lambda c: C.file_totals(c.fact("sourc
 
 @query("agg_02", "SELECT source, target, production_files, test_files, string_agg(DISTINCT source_package, ',' ORDER BY source_package) AS source_packages, string_agg(DISTINCT target_package, ',' ORDER BY target_package) AS target_packages, sites FROM {o_rel} JOIN {source_imports} USING (source, target) GROUP BY source, target, production_files, test_files, sites")
 def agg_02(c: Context) -> DataFrame:
-    return c.graph.relationships.select("source", "target", "production_files", "test_files", joined("source_packages").alias("source_packages"), joined("target_packages").alias("target_packages"), F.size("import_sites").cast("bigint").alias("sites"))
+    return c.graph.relationships.select("source", "target", "production_files", "test_files", joined("source_packages").alias("source_packages"), joined("target_packages").alias("target_packages"), "sites")
 
 
 query("agg_03", "SELECT source, target, test_only FROM {o_rel}")(lambda c: c.graph.relationships.select("source", "target", "test_only"))
 COUPLING = ["id", "direct_dependencies", "efferent", "test_only_dependencies", "direct_importers", "afferent", "test_only_importers", "importer_packages", "production_importer_packages", "test_importer_packages"]
-query("agg_04", f"SELECT {', '.join(COUPLING)} FROM {{o_comp}}")(lambda c: C.coupling(C.identifiers(c.fact("source_files"), c.fact("source_imports")), C.relationships(c.fact("source_imports"))).select(*COUPLING))
+query("agg_04", f"SELECT {', '.join(COUPLING)} FROM {{o_comp}}")(lambda c: C.coupling(C.identifiers(c.fact("source_files"), c.fact("source_imports")), C.relationships(c.fact("source_imports")), c.fact("source_imports")).select(*COUPLING))
 query("agg_05", "SELECT id, round(instability, 6) AS instability FROM {o_comp}")(lambda c: c.graph.components.select("id", r6(M.instability(F.col("afferent"), F.col("efferent"))).alias("instability")))
 query("agg_06", "SELECT id, round(abstractness, 6) AS abstractness FROM {o_comp}")(lambda c: c.graph.components.select("id", r6(M.abstractness(F.col("abstract_types"), F.col("concrete_types"))).alias("abstractness")))
 query("agg_07", "SELECT id, round(distance, 6) AS distance FROM {o_comp}")(lambda c: c.graph.components.select("id", r6(M.main_sequence_distance(F.col("abstractness"), F.col("instability"))).alias("distance")))
@@ -204,7 +204,7 @@ query("agg_12", "SELECT id, component, path, line, in_scope FROM {o_decl}")(lamb
 query("j_02", "SELECT source, target, test, count(*) AS n FROM {o_known} GROUP BY source, target, test")(lambda c: Fn.known_references(c.fact("function_references"), Fn.merged(c.fact("function_declarations"))).groupBy("source", "target", "test").agg(F.count("*").alias("n")))
 query("agg_09", "SELECT id, afferent, efferent, test_afferent, test_efferent, cross_component_callers, cross_component_callees FROM {o_func}")(lambda c: c.functions.functions.select("id", "afferent", "efferent", "test_afferent", "test_efferent", "cross_component_callers", "cross_component_callees"))
 query("agg_10", "SELECT id, incoming_call_sites, outgoing_call_sites, test_incoming_call_sites, test_outgoing_call_sites FROM {o_func}")(lambda c: c.functions.functions.select("id", "incoming_call_sites", "outgoing_call_sites", "test_incoming_call_sites", "test_outgoing_call_sites"))
-query("agg_11", "SELECT * FROM {o_calls}")(lambda c: c.functions.calls.drop("call_sites"))
+query("agg_11", "SELECT * FROM {o_calls}")(lambda c: c.functions.calls)
 query("g_07", "SELECT id, name, package, component, path, line, receiver, method, exported, test, synthetic, in_scope, afferent, efferent, transitive_callees, transitive_callers, using_applications, in_cycle, round(instability, 6) AS instability FROM {o_func}")(
     lambda c: c.functions.functions.select("id", "name", "package", "component", "path", "line", "receiver", "method", "exported", "test", "synthetic", "in_scope", "afferent", "efferent", "transitive_callees", "transitive_callers", joined("using_applications").alias("using_applications"), "in_cycle", r6("instability").alias("instability"))
 )
@@ -219,11 +219,11 @@ query("j_04", """SELECT component, coalesce(sum(calls) FILTER (inc AND NOT test)
 )
 query("j_05", "SELECT component, count(*) FILTER (NOT test) AS production_functions, count(*) FILTER (test) AS test_functions FROM {o_func} WHERE in_scope GROUP BY component")(lambda c: Fn.component_functions(c.functions.functions))
 query("w_05", "SELECT id, path, line FROM {o_decl}")(lambda c: Fn.merged(c.fact("function_declarations")).select("id", "path", "line"))
-query("sc_11", """SELECT source, target, test, string_agg(DISTINCT path || ':' || lpad(line::VARCHAR, 3, '0') || ':' || "column", ',' ORDER BY path || ':' || lpad(line::VARCHAR, 3, '0') || ':' || "column") AS sites FROM {o_known} GROUP BY source, target, test""")(
-    lambda c: c.functions.calls.select("source", "target", "test", joined(F.transform("call_sites", lambda s: F.concat_ws(":", s["path"], F.lpad(s["line"].cast("string"), 3, "0"), s["column"].cast("string")))).alias("sites"))
+query("sc_11", "SELECT id, list_contains(string_split(using_applications, ','), 'app1') AS used, using_application_count AS n FROM {o_comp}")(
+    lambda c: c.graph.components.select("id", F.array_contains("using_applications", "app1").alias("used"), F.size(F.array_distinct(F.sort_array("using_applications"))).cast("bigint").alias("n"))
 )
-query("o_09", """SELECT source, target, string_agg(path || '|' || lpad(line::VARCHAR, 3, '0') || '|' || target_package || '|' || alias, ',' ORDER BY path, line, target_package, alias, source_package, test) AS sites FROM {source_imports} WHERE source <> target GROUP BY source, target""")(
-    lambda c: c.graph.relationships.select("source", "target", joined(F.transform("import_sites", lambda s: F.concat_ws("|", s["path"], F.lpad(s["line"].cast("string"), 3, "0"), s["target_package"], s["alias"]))).alias("sites"))
+query("o_09", "SELECT source, target, path, line, target_package, alias, source_package, test FROM {source_imports} WHERE source <> target")(
+    lambda c: C.import_sites(c.fact("source_imports")).orderBy("source", "target", "path", "line", "target_package", "alias", "source_package", "test")
 )
 
 # ---- query layer ----------------------------------------------------------------------------------------------------
