@@ -5,11 +5,12 @@ of arrivals with its weight as rate, each arrival falls on one register, and a r
 first. An element whose next arrival comes after the last register was taken is done, so most elements need one or two
 draws. The share of equal registers estimates the probability Jaccard similarity of two texts.
 
-Bands of registers give buckets. Within a bucket every text is first verified against the smallest key alone, which is
-linear however large the bucket; components of these links show which buckets hold more than one component. There, and
-only there, the texts outside a bucket's largest component are compared with all others of the bucket, by registers, in
-blocks; pairs of different components that may reach the threshold are verified on their whole texts too. Texts of one
-component need no further pair, so no link between different groups is lost and no group is expanded into all pairs.
+Bands of registers give buckets. Within a bucket every text is first verified against one member alone, the one that meets
+the most others in its buckets, which is linear however large the bucket. Texts that are at least half alike to such a
+member form neighbourhoods, and where a neighbourhood holds more than one component of verified links, the texts outside of
+its largest component are compared with all others of the neighbourhood, in blocks: by registers first, then on whole texts,
+skipping what the block has united already. A block returns a spanning forest of its links. Texts of one component need no
+further pair, so no link between different groups is lost and no group is expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugework.functions.shipping import ship
-from gaugework.llm.common import cut
+from gaugework.llm.common import stored
 from gaugework.llm.graph import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -36,8 +37,11 @@ BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
 #: Pairs whose registers agree less than this aren't verified: four standard deviations below the threshold.
 ESTIMATE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
-BLOCK = 256
-MEMO = 500_000
+#: Texts less alike to the member that their bucket was verified against aren't of its neighbourhood.
+NEIGHBOUR = 0.5
+BLOCK = 512
+FILTER_BITS = 1 << 25
+MEMO = 100_000
 WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -160,49 +164,77 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id bigint, digest binary, keys array<bigint>, registers binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts are similar. ``texts`` has id and text."""
+def narrowed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id may be one of ``ids``, so that a join moves few texts that it doesn't need.
+
+    The filter is a bit set of fixed size as a table of words, FILTER_BITS / 32 at most, which is sent to every task;
+    false positives are joined away later.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.select(place.alias("p")).groupBy(F.expr("p div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("bits"))
+    placed = texts.withColumn("p", place).withColumn("w", F.expr("p div 32"))
+    found = placed.join(F.broadcast(words), (F.col("w") == F.col("word")) & (F.expr("shiftright(bits, cast(p % 32 as int)) & 1") == 1), "left_semi")
+    return found.drop("p", "w")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose whole texts have a similarity of ``least`` or more, with it. ``texts`` has id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 rows = whole.slice(at, 256)
                 a, b = rows.column(2).to_pylist(), rows.column(3).to_pylist()
-                keep = pa.array([probability_jaccard(shingles(x), _recent(y)) >= threshold for x, y in zip(a, b, strict=True)], type=pa.bool_())
-                yield pa.RecordBatch.from_arrays([rows.column(0).filter(keep), rows.column(1).filter(keep)], names=["a", "b"])
+                score = np.array([probability_jaccard(shingles(x), _recent(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+                keep = pa.array(score >= least, type=pa.bool_())
+                yield pa.RecordBatch.from_arrays([rows.column(0).filter(keep), rows.column(1).filter(keep), pa.array(score).filter(keep)], names=["a", "b", "score"])
 
-    left, right = texts.toDF("ta", "text_a"), texts.toDF("tb", "text_b")
+    left = narrowed(texts, pairs.select(F.col("a").alias("id"))).toDF("ta", "text_a")
+    right = narrowed(texts, pairs.select(F.col("b").alias("id"))).toDF("tb", "text_b")
     both = pairs.join(left, F.col("a") == F.col("ta")).select("a", "b", "text_a").join(right, F.col("b") == F.col("tb"))
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, score double")
 
 
-def candidates_left(rows: DataFrame) -> DataFrame:
-    """Pairs of different components in buckets that hold several, by their registers.
+def links_within(rows: DataFrame, threshold: float) -> DataFrame:
+    """Further links (a, b) between components of one neighbourhood: a spanning forest for each block.
 
-    ``rows`` has key, id, component, registers. All rows of a bucket are dealt to blocks; those outside the bucket's
-    largest component are probes and go to each of its blocks.
+    ``rows`` has place (neighbourhood), id, component, registers, text, blocks, major. All rows are dealt to the blocks of
+    their neighbourhood; those outside of its largest component are probes and go to each of them.
     """
-    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
-    buckets = (
-        sizes.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("largest"), F.count("*").alias("components"))
-        .filter("components > 1")
-        .select(F.col("key").alias("k"), F.col("largest.component").alias("major"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    )
-    mixed = rows.join(buckets, F.col("key") == F.col("k")).withColumn("probe", F.col("component") != F.col("major"))
-    resident = mixed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("key", "block", "id", "component", "registers", F.lit(False).alias("probe"))
-    probes = mixed.filter("probe").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", "id", "component", "registers", "probe")
+    own = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("probe", F.lit(False))
+    probes = rows.filter("component <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
+    columns = ["place", "block", "id", "component", "registers", "text", "probe"]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["probe", "id"])
         held = np.stack([np.frombuffer(r, dtype=np.uint32) for r in pdf["registers"]])
-        ids, component, probe = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["probe"].to_numpy(dtype=bool)
-        mine = np.flatnonzero(~probe)
-        out = []
+        ids, component, probe, texts = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["probe"].to_numpy(dtype=bool), pdf["text"].tolist()
+        root = {c: c for c in component.tolist()}
+        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        def of(k: int) -> tuple[np.ndarray, np.ndarray]:
+            if k not in sets:
+                sets[k] = shingles(texts[k])
+            return sets[k]
+
+        out, mine = [], np.flatnonzero(~probe)
         for p in np.flatnonzero(probe):
-            near = mine[((held[mine] == held[p]).mean(axis=1) >= ESTIMATE) & (component[mine] != component[p])]
-            out += [(max(ids[p], i), min(ids[p], i)) for i in ids[near]]
-        return pd.DataFrame(out, columns=["a", "b"]).drop_duplicates().astype("int64")
+            alike = (held[mine] == held[p]).mean(axis=1)
+            near = np.flatnonzero(alike >= ESTIMATE)
+            for k in mine[near[np.argsort(-alike[near], kind="stable")]]:
+                a, b = top(component[p]), top(component[k])
+                if a != b and probability_jaccard(of(p), of(k)) >= threshold:
+                    root[max(a, b)] = min(a, b)
+                    out.append((max(ids[p], ids[k]), min(ids[p], ids[k])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return resident.unionByName(probes).groupBy("key", "block").applyInPandas(compare, "a bigint, b bigint").distinct()
+    return own.select(*columns).unionByName(probes.select(*columns)).groupBy("place", "block").applyInPandas(compare, "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -213,30 +245,32 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     that repeat a key repeat its class; a null key has a null class and is kept. An empty table gives no rows.
     """
     ship(docs.sparkSession)
-    sketches = cut(sketch(docs, key, text))
-    least = sketches.filter("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("least"))
-    named = sketches.select("id", "digest").join(least.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of"), "left").select("id", F.coalesce("least", "id").alias("node"))
-    nodes = sketches.filter("keys is not null").join(least.withColumnRenamed("digest", "of"), (F.col("digest") == F.col("of")) & (F.col("id") == F.col("least")))
-    nodes = nodes.groupBy("id").agg(F.first("keys").alias("keys"), F.first("registers").alias("registers"))
-    banded = nodes.select("id", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k"), "pivot")
-    shared = cut(banded.join(buckets, F.col("key") == F.col("k")).select("key", "id", "pivot"))
+    sketches = stored(sketch(docs, key, text))
+    least = sketches.filter("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("least")).withColumnRenamed("digest", "of")
+    named = stored(sketches.select("id", "digest").join(least, F.col("digest") == F.col("of"), "left").select("id", F.coalesce("least", "id").alias("node")))
+    distinct = named.filter("id = node").select(F.col("id").alias("own")).distinct()
+    nodes = sketches.filter("keys is not null").join(distinct, F.col("id") == F.col("own"), "left_semi")
+    banded = nodes.select("id", F.explode("keys").alias("key")).distinct()
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("key", "k")
+    shared = stored(banded.join(sizes, F.col("key") == F.col("k")).select("key", "id", "n"))
+    met = shared.groupBy("id").agg(F.sum("n").alias("met")).withColumnRenamed("id", "i")
+    pivots = shared.join(met, F.col("id") == F.col("i")).groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("pivot")).withColumnRenamed("key", "k")
+    pairs = stored(shared.join(pivots, F.col("key") == F.col("k")).filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    links = cut(verified(shared.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), texts, threshold).distinct())
-    components = cut(connected_components(links))
-
-    def with_component(df: DataFrame, found: DataFrame) -> DataFrame:
-        return df.join(found.toDF("member", "component"), F.col("id") == F.col("member"), "left").withColumn("component", F.coalesce("component", "id")).drop("member")
-
-    placed = with_component(shared.select("key", "id"), components)
-    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select(F.col("key").alias("k"))
-    rows = placed.join(several, F.col("key") == F.col("k")).drop("k").join(nodes.select(F.col("id").alias("nid"), "registers"), F.col("id") == F.col("nid")).drop("nid")
-    tested = shared.select(F.col("id").alias("x"), F.col("pivot").alias("y")).distinct()
-    left = candidates_left(rows)
-    left = cut(left.join(tested, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"))
-    more = cut(verified(left, texts, threshold).distinct())
+    alike = stored(verified(pairs, texts, NEIGHBOUR))
+    links = alike.filter(F.col("score") >= threshold).select("a", "b")
+    components = stored(connected_components(links))
+    around = connected_components(alike.select("a", "b")).toDF("id", "place")
+    placed = stored(around.join(components.toDF("member", "component"), F.col("id") == F.col("member"), "left").select("id", "place", F.coalesce("component", "id").alias("component")))
+    counts = placed.groupBy("place", "component").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("place").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
+    mixed = mixed.select(F.col("place").alias("p"), F.col("largest.component").alias("major"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
+    rows = stored(placed.join(mixed, F.col("place") == F.col("p")).drop("p"))
+    held = narrowed(texts, rows.select("id")).toDF("tid", "text")
+    drawn = nodes.select(F.col("id").alias("nid"), "registers")
+    more = stored(links_within(rows.join(drawn, F.col("id") == F.col("nid")).join(held, F.col("id") == F.col("tid")), threshold))
     if not more.isEmpty():
-        components = cut(connected_components(links.unionByName(more)))
+        components = stored(connected_components(links.unionByName(more)))
     found = named.join(components.toDF("member", "component"), F.col("node") == F.col("member"), "left")
     return found.select(F.col("id").alias(key), F.coalesce("component", "node").alias("class_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("class_id"), F.lit(True)))
 
