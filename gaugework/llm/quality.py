@@ -28,26 +28,32 @@ Condition = tuple[int, bool, float]  # statistic, whether it lies above the boun
 Rule = tuple[Condition, ...]
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of the whole text. A null text is an empty one, all of whose statistics are 0."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.length(t).cast("double")
-    words = F.split(F.trim(F.translate(t, "\n\t", "  ")), " +")
-    per = lambda c: F.when(n > 0, c / n).otherwise(0.0)
-    gone = lambda what: n - F.length(F.replace(t, F.lit(what)))
-    return {
+def with_statistics(docs: DataFrame, text: str = "text", name: str = "__stats") -> DataFrame:
+    """``docs`` and a struct of the statistics of the whole text. A null text is an empty one, all of whose statistics are 0.
+
+    Length and words are computed once, in a projection. The struct comes out of a generator over an array of one: a
+    filter on the score isn't pushed below a generator, where every rule would compute its statistics anew.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    base = docs.select("*", F.length(t).cast("double").alias("__n"), F.split(F.trim(F.translate(t, "\n\t", "  ")), " +").alias("__words"))
+    n, size = F.col("__n"), F.size("__words").cast("double")
+    least = F.greatest(n, F.lit(1.0))
+    some = F.when(n > 0, 1.0).otherwise(0.0)
+    without = lambda letters: (n - F.length(F.translate(t, letters, ""))) / least
+    stats = {
         "chars": n,
-        "words": F.when(n > 0, F.size(words)).otherwise(0).cast("double"),
-        "distinct_words": F.when(n > 0, F.size(F.array_distinct(words)) / F.size(words)).otherwise(0.0).cast("double"),
-        "word_length": F.when(n > 0, n / F.size(words)).otherwise(0.0),
-        "capitals": per(n - F.length(F.translate(t, CAPITALS, ""))),
-        "symbols": per(n - F.length(F.translate(t, SYMBOLS, ""))),
-        "shouts": per(gone("!")),
-        "bars": per(gone("|")),
-        "digits": per(n - F.length(F.translate(t, "0123456789", ""))),
-        "stops": per(n - F.length(F.translate(t, ".,;:?", ""))),
-        "lines": per(gone("\n")),
+        "words": size * some,
+        "distinct_words": F.size(F.array_distinct("__words")) / size * some,
+        "word_length": n / size,
+        "capitals": without(CAPITALS),
+        "symbols": without(SYMBOLS),
+        "shouts": (n - F.length(F.replace(t, F.lit("!")))) / least,
+        "bars": (n - F.length(F.replace(t, F.lit("|")))) / least,
+        "digits": without("0123456789"),
+        "stops": without(".,;:?"),
+        "lines": (n - F.length(F.replace(t, F.lit("\n")))) / least,
     }
+    return base.select("*", F.explode(F.array(F.struct(*(stats[k].alias(k) for k in NAMES)))).alias(name)).drop("__n", "__words")
 
 
 NAMES = ["chars", "words", "distinct_words", "word_length", "capitals", "symbols", "shouts", "bars", "digits", "stops", "lines"]
@@ -167,8 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
         part = usable.filter(F.col("__label") == value).distinct().orderBy(F.xxhash64(key), key).limit(bound)
         first = part if first is None else first.unionByName(part)
     rows = (
-        docs.select(key, F.col(text).alias("__text")).join(F.broadcast(first), key)
-        .select("__label", *(c.alias(f"__{n}") for n, c in statistics(F.col("__text")).items()))
+        with_statistics(docs.select(key, F.col(text).alias("__text")).join(F.broadcast(first), key), "__text")
+        .select("__label", *(F.col(f"__stats.{n}").alias(f"__{n}") for n in NAMES))
         .limit(2 * (SAMPLE_LOW + SAMPLE_HIGH)).collect()
     )
     data = np.array(sorted(tuple(r) for r in rows), dtype=float).reshape(len(rows), 1 + len(NAMES))
@@ -179,10 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "__score") -> DataFrame:
-    """``docs`` and the score as column ``name``; the statistics are computed once, in a projection of their own."""
-    own = [f"__stat_{n}" for n in NAMES]
-    stats = docs.select("*", *(c.alias(f"__stat_{n}") for n, c in statistics(F.col(text)).items()))
-    return stats.withColumn(name, model.column(own)).drop(*own)
+    """``docs`` and the score as column ``name``."""
+    return with_statistics(docs, text).withColumn(name, model.column([f"__stats.{n}" for n in NAMES])).drop("__stats")
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:

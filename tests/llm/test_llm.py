@@ -275,7 +275,8 @@ def test_quality_columns_equal_the_model(spark):
     assert 0 < len(model.rules) < 120 and ((model.score(x) >= 0.5) == y).mean() > 0.95
     texts = [*ODD, "LOUD!! WORDS!! HERE!!", "a | b | c | d", "same same same same same"]
     got = {r.doc_id: r.score for r in quality.score(docs(spark, texts), model).collect()}
-    stats = docs(spark, texts).select("doc_id", *(c.alias(n) for n, c in quality.statistics(F.col("text")).items())).collect()
+    stats = quality.with_statistics(docs(spark, texts)).select("doc_id", *(f"__stats.{n}" for n in quality.NAMES)).collect()
+    assert all(tuple(r[1:]) == (0.0,) * len(quality.NAMES) for r in stats if not texts[r.doc_id])
     for r in stats:
         assert got[r.doc_id] == pytest.approx(float(model.score(np.array([r[1:]], dtype=float))[0]))
 
