@@ -1,7 +1,7 @@
 """Toxicity by compression distance: which of two zstandard dictionaries shortens a window of text more.
 
-The ordinary dictionary holds the most frequent words of ordinary training texts, the toxic one goes on with the
-beginnings of words that are typical of toxic training texts. The windows are the words of the text: each is set
+The ordinary dictionary holds the most frequent words of ordinary training texts and those that look like toxic ones; the
+toxic one goes on with the beginnings of words that are typical of toxic training texts. The windows are the words of the text: each is set
 between two fixed strings that both dictionaries hold, so that a block is always worth compressing and the difference of
 the two lengths depends on the word alone; letters take two bytes, which doubles a match against the fixed cost of a
 sequence. The bytes that the toxic dictionary saves on the windows of a text give features (the best window, how many
@@ -35,7 +35,7 @@ LEAST_SHARE = 0.25
 LEAST_ODDS = 2.0
 PREFIX = 6
 #: Bytes saved from which a window counts as a hit.
-HIT = 3
+HIT = 2
 MEMO = 400_000
 WORD = re.compile(r"[^\W\d_]{2,64}")
 LETTERS = "utf-16-le"
@@ -44,17 +44,25 @@ AFTER = bytes(range(112, 96, -1)) + b"0123"
 
 
 @lru_cache(maxsize=4)
-def windows(ordinary: str, toxic: str) -> tuple:
-    """Both compressors and the memo of the words' savings, kept by a process for all its tasks."""
+def windows(ordinary: str, toxic: str) -> tuple[list, dict]:
+    """Pairs of compressors, ordinary and toxic, and the memo of the words' savings, kept by a process for all its tasks.
+
+    The pairs differ in the order of the ordinary words and in their strategy. Where matches overlap, a search may take
+    others under one dictionary than under the other by chance; what a toxic string saves, it saves under every pair.
+    """
+    turned = " " + " ".join(reversed(ordinary.split())) + " "
     made = []
-    for content in (ordinary, ordinary + toxic):
-        p = zstandard.ZstdCompressionParameters(
-            window_log=17, hash_log=16, chain_log=16, search_log=6, min_match=6, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0
-        )
-        held = zstandard.ZstdCompressionDict(content.encode(LETTERS) + AFTER + BEFORE, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        held.precompute_compress(compression_params=p)
-        made.append(zstandard.ZstdCompressor(dict_data=held, compression_params=p).compress)
-    return *made, {}
+    for words, strategy in ((ordinary, zstandard.STRATEGY_GREEDY), (turned, zstandard.STRATEGY_LAZY2)):
+        pair = []
+        for content in (words, words + toxic):
+            p = zstandard.ZstdCompressionParameters(
+                window_log=17, hash_log=16, chain_log=16, search_log=6, min_match=6, strategy=strategy, write_content_size=0, write_checksum=0, write_dict_id=0
+            )
+            held = zstandard.ZstdCompressionDict(content.encode(LETTERS) + AFTER + BEFORE, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(compression_params=p)
+            pair.append(zstandard.ZstdCompressor(dict_data=held, compression_params=p).compress)
+        made.append(tuple(pair))
+    return made, {}
 
 
 @dataclass
@@ -66,14 +74,14 @@ class Model:
     weights: list[float]
 
     def savings(self, text: str) -> list[int]:
-        """Bytes that the toxic dictionary saves on each window of the whole text."""
-        plain, toxic, memo = windows(self.ordinary, self.toxic)
+        """Bytes that the toxic dictionary saves on each window of the whole text, the least of all pairs."""
+        pairs, memo = windows(self.ordinary, self.toxic)
         out = []
         for word in WORD.findall(text.lower()):
             saved = memo.get(word)
             if saved is None:
                 raw = BEFORE + f" {word} ".encode(LETTERS) + AFTER
-                saved = len(plain(raw)) - len(toxic(raw))
+                saved = min(len(plain(raw)) - len(toxic(raw)) for plain, toxic in pairs)
                 if len(memo) >= MEMO:
                     memo.clear()
                 memo[word] = saved
@@ -81,10 +89,10 @@ class Model:
         return out
 
     def features(self, text: str) -> list[float]:
-        """1, the best saving, the number of hits on a log scale, hits per hundred windows (at most 20)."""
+        """1, the best saving if it is a hit, the number of hits on a log scale, hits per hundred windows (at most 20)."""
         saved = self.savings(text)
         hits = sum(x >= HIT for x in saved)
-        return [1.0, float(max(0, max(saved, default=0))), math.log1p(hits), min(20.0, 100.0 * hits / max(10, len(saved)))]
+        return [1.0, float(max(saved)) if hits else 0.0, math.log1p(hits), min(20.0, 100.0 * hits / max(10, len(saved)))]
 
     def score(self, text: str) -> float:
         z = sum(w * x for w, x in zip(self.weights, self.features(text), strict=True))
@@ -128,6 +136,34 @@ def typical(toxic: list[str], ordinary: list[str], size: int = TOXIC_CHARS) -> s
     return "".join(reversed([w for w in kept if weight[w] >= LEAST_SHARE * weight[ranked[0]]][: size // (PREFIX + 1)]))
 
 
+def neighbours(ordinary: list[str], toxic: str, each: int = 3) -> str:
+    """Frequent ordinary words that share three letters in a row with a toxic string without holding it.
+
+    In the ordinary dictionary they take away what a chance match of a few letters would save.
+    """
+    strings = [x for x in toxic.split(" ") if x]
+    parts = {x[i : i + 3] for x in strings for i in range(len(x) - 2)}
+    counts = Counter(w for t in ordinary for w in set(WORD.findall(t.lower())))
+    taken: dict[str, None] = {}
+    left = dict.fromkeys(parts, each)
+    for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+        own = {w[i : i + 3] for i in range(len(w) - 2)} & left.keys()
+        if own and len(w) <= 16 and not any(w.startswith(x) for x in strings):
+            taken[w] = None
+            for x in own:
+                left[x] -= 1
+                if not left[x]:
+                    del left[x]
+        if not left:
+            break
+    return "".join(f"{w} " for w in reversed(taken))
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
+    found = typical(toxic, ordinary)
+    return Model(frequent(ordinary) + neighbours(ordinary, found), found, FALLBACK)
+
+
 #: The curve where labels of both classes are missing.
 FALLBACK = [-4.0, 0.3, 1.0, 0.0]
 
@@ -153,9 +189,9 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     """Dictionaries from all texts; the curve from each half's texts under dictionaries of the other half."""
     check: list[tuple[list[float], int]] = []
     for k in (0, 1):
-        half = Model(frequent(ordinary[k::2]), typical(toxic[k::2], ordinary[k::2]), FALLBACK)
+        half = dictionaries(toxic[k::2], ordinary[k::2])
         check += [(half.features(t), 1) for t in toxic[1 - k :: 2]] + [(half.features(t), 0) for t in ordinary[1 - k :: 2]]
-    model = Model(frequent(ordinary), typical(toxic, ordinary), FALLBACK)
+    model = dictionaries(toxic, ordinary)
     if check:
         model.weights = logistic(np.array([c for c, _ in check]), np.array([c for _, c in check], dtype=float))
     return model
