@@ -71,4 +71,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_embedding_dedup": """
+        WITH RECURSIVE vectors AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+        usable AS (SELECT * FROM vectors WHERE label IS NOT NULL AND e IS NOT NULL AND list_count(e) = len(e) AND list_dot_product(e, e) > 0 AND isfinite(list_dot_product(e, e))),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+        walk AS (SELECT vec_id AS node, vec_id AS reached FROM vectors UNION SELECT walk.node, links.b FROM walk JOIN links ON links.a = walk.reached),
+        found AS (SELECT node, min(reached) AS component_id FROM walk GROUP BY node)
+        SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM vectors JOIN found ON node = vec_id""",
+}
