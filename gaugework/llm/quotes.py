@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugework.functions.shipping import ship
+from gaugework.llm.common import stored
 
 MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 #: Lines that announce a quote in mail of several languages.
@@ -88,6 +89,21 @@ def parsed(messages: DataFrame, conversation: str, turn: str, role: str, text: s
     return rows.mapInArrow(run, "conv bigint, turn bigint, role string, body string, units array<string>, n_quotes bigint, quote_depth bigint, quotes array<struct<passage:int,level:int,rank:int,digest:string>>")
 
 
+def before(turns: DataFrame) -> DataFrame:
+    """(vc, vt, previous): the turn before each of the distinct turns of a conversation; null for the first.
+
+    Turns are dealt by ranges of conversation and turn, so a conversation that holds a third of all messages is spread
+    over many tasks; the last turn of a range comes before the first of the next, a row for each range.
+    """
+    ranged = stored(turns.repartitionByRange("conv", "turn").sortWithinPartitions("conv", "turn").withColumn("range", F.spark_partition_id()))
+    here = F.struct("conv", "turn")
+    last = ranged.groupBy("range").agg(F.max(here).alias("last"))
+    last = last.select(F.col("range").alias("r"), F.lag("last").over(Window.orderBy("range")).alias("carried"))
+    placed = ranged.withColumn("lagged", F.lag(here).over(Window.partitionBy("range").orderBy("conv", "turn"))).join(F.broadcast(last), F.col("range") == F.col("r"))
+    near = F.coalesce("lagged", "carried")
+    return placed.select(F.col("conv").alias("vc"), F.col("turn").alias("vt"), F.when(near["conv"] == F.col("conv"), near["turn"]).alias("previous"))
+
+
 def conversations(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Per message: conversation, turn, role, text without quotes, n_quotes, quote_depth, n_linked, reply_conv, reply_turn, linked.
 
@@ -96,7 +112,7 @@ def conversations(messages: DataFrame, conversation: str = "conv_id", turn: str
     has no parent and is no one's parent; rows that repeat a conversation and turn are messages of their own with the
     same links; an empty table gives no rows.
     """
-    rows = parsed(messages, conversation, turn, role, text)
+    rows = stored(parsed(messages, conversation, turn, role, text))
     quoting = rows.filter("n_quotes > 0 and conv is not null and turn is not null")
     quotes = quoting.select("conv", "turn", F.explode("quotes").alias("q")).select("conv", "turn", "q.*").distinct()
     wanted = quotes.select("digest").distinct()
@@ -115,9 +131,7 @@ def conversations(messages: DataFrame, conversation: str = "conv_id", turn: str
     passages = found.filter("source is not null").groupBy("conv", "turn", "passage", "level").agg(F.max_by("source", F.struct(F.col("source.same"), -F.col("rank"))).alias("source"))
     per = passages.groupBy("conv", "turn").agg(F.count("*").alias("n_linked"), F.max(F.struct((-F.col("level")).alias("level"), F.col("source"))).alias("nearest"))
     per = per.select(F.col("conv").alias("pc"), F.col("turn").alias("pt"), "n_linked", F.col("nearest.source.c").alias("rc"), F.col("nearest.source.t").alias("rt"))
-    # The turn before, counted among distinct turns: a message's place needs its conversation's turns, not their texts.
-    turns = rows.filter("conv is not null and turn is not null").groupBy("conv", "turn").agg(F.lit(1).alias("one"))
-    turns = turns.select(F.col("conv").alias("vc"), F.col("turn").alias("vt"), F.lag("turn").over(Window.partitionBy("conv").orderBy("turn")).alias("previous"))
+    turns = before(rows.filter("conv is not null and turn is not null").select("conv", "turn").distinct())
     out = rows.join(per, (F.col("conv") == F.col("pc")) & (F.col("turn") == F.col("pt")), "left").join(turns, (F.col("conv") == F.col("vc")) & (F.col("turn") == F.col("vt")), "left")
     linked = F.col("rt").isNotNull()
     return out.select(

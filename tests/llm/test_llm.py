@@ -140,6 +140,14 @@ def test_quotes_are_linked(spark):
     assert quotes.conversations(df.limit(0)).count() == 0
 
 
+def test_turn_before(spark):
+    rng = random.Random(2)
+    rows = sorted({(rng.randrange(4) if rng.random() < 0.5 else 9, rng.randrange(400)) for _ in range(500)})
+    want = {r: (p[1] if p and p[0] == r[0] else None) for p, r in zip([None, *rows], rows, strict=False)}
+    got = {(r.vc, r.vt): r.previous for r in quotes.before(spark.createDataFrame(rows, "conv long, turn long").repartition(5)).collect()}
+    assert got == want
+
+
 # ---- byte pairs ----------------------------------------------------------------------------------------------------
 
 
