@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 
 from gaugework.functions.shipping import ship
 from gaugework.llm.common import map_rows
+from gaugework.llm.memo import own
 
 # Fixed value: the word pattern of the byte-level pre-tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -217,6 +218,7 @@ def little_endian(packed: bytes) -> bytes:
 def digest(path: str) -> Callable[[str], tuple]:
     def row(text: str) -> tuple:
         c = codec(path)
+        c.memo = own(("bpe", path))
         packed = c.encode_packed(text)
         ids = array("I", packed)
         decoded = hashlib.sha256()

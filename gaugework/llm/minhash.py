@@ -31,6 +31,7 @@ from pyspark.sql.window import Window
 from gaugework.functions.shipping import ship
 from gaugework.llm.common import stored
 from gaugework.llm.graph import connected_components
+from gaugework.llm.memo import own
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
@@ -144,6 +145,7 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, digest, keys, registers) of every document; texts without words have no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("minhash")
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.shipping import ship
 from gaugework.llm.bpe import little_endian
+from gaugework.llm.memo import own
 
 WINDOW = 2048
 POOL = 2048
@@ -222,6 +223,7 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
         context = TaskContext.get()
         packer = Packer((context.partitionId() if context else 0) << 40, window, pool)
         encoder = words(vocabulary)
+        encoder.memo = own(("packing", vocabulary))
         end = little_endian(array("I", [END_ID]).tobytes())
         schema = None
 

@@ -25,18 +25,19 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.shipping import ship
 from gaugework.llm.common import held_out, map_rows
+from gaugework.llm.memo import own
 
 #: Bounds of the training sample: labelled documents by class, and the longest text taken into it.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1500, 3000, 40_000
 ORDINARY_CHARS, TOXIC_CHARS = 12_000, 2_000
 #: Strings less typical than this share of the most typical one stay out of the toxic dictionary.
-LEAST_SHARE = 0.25
+LEAST_SHARE = 0.1
 #: Nor do strings whose log-odds of occurring in a toxic text against an ordinary one are lower.
 LEAST_ODDS = 2.0
 PREFIX = 6
 #: Bytes saved from which a window counts as a hit.
 HIT = 2
-MEMO = 400_000
+MEMO = 200_000
 WORD = re.compile(r"[^\W\d_]{2,64}")
 LETTERS = "utf-16-le"
 BEFORE = "".join(chr(65 + i) + chr(48 + i % 10) for i in range(24)).encode()
@@ -44,8 +45,8 @@ AFTER = bytes(range(112, 96, -1)) + b"0123"
 
 
 @lru_cache(maxsize=4)
-def windows(ordinary: str, toxic: str) -> tuple[list, dict]:
-    """Pairs of compressors, ordinary and toxic, and the memo of the words' savings, kept by a process for all its tasks.
+def windows(ordinary: str, toxic: str) -> list:
+    """Pairs of compressors, ordinary and toxic, kept by a process for all its tasks.
 
     The pairs differ in the order of the ordinary words and in their strategy. Where matches overlap, a search may take
     others under one dictionary than under the other by chance; what a toxic string saves, it saves under every pair.
@@ -62,7 +63,7 @@ def windows(ordinary: str, toxic: str) -> tuple[list, dict]:
             held.precompute_compress(compression_params=p)
             pair.append(zstandard.ZstdCompressor(dict_data=held, compression_params=p).compress)
         made.append(tuple(pair))
-    return made, {}
+    return made
 
 
 @dataclass
@@ -75,7 +76,7 @@ class Model:
 
     def savings(self, text: str) -> list[int]:
         """Bytes that the toxic dictionary saves on each window of the whole text, the least of all pairs."""
-        pairs, memo = windows(self.ordinary, self.toxic)
+        pairs, memo = windows(self.ordinary, self.toxic), own(("toxicity", self.ordinary, self.toxic))
         out = []
         for word in WORD.findall(text.lower()):
             saved = memo.get(word)
@@ -186,7 +187,11 @@ def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries from all texts; the curve from each half's texts under dictionaries of the other half."""
+    """Dictionaries from all texts; the curve from each half's texts under dictionaries of the other half.
+
+    Of training texts that begin alike one is taken, as copies would make their rare words look typical.
+    """
+    toxic, ordinary = (list({t[:80]: t for t in reversed(part)}.values()) for part in (toxic, ordinary))
     check: list[tuple[list[float], int]] = []
     for k in (0, 1):
         half = dictionaries(toxic[k::2], ordinary[k::2])
