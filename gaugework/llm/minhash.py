@@ -7,10 +7,12 @@ draws. The share of equal registers estimates the probability Jaccard similarity
 
 Bands of registers give buckets. Within a bucket every text is first verified against one member alone, the one that meets
 the most others in its buckets, which is linear however large the bucket. Texts that are at least half alike to such a
-member form neighbourhoods, and where a neighbourhood holds more than one component of verified links, the texts outside of
-its largest component are compared with all others of the neighbourhood, in blocks: by registers first, then on whole texts,
-skipping what the block has united already. A block returns a spanning forest of its links. Texts of one component need no
-further pair, so no link between different groups is lost and no group is expanded into all pairs.
+member form neighbourhoods. Members of a bucket that lie in different neighbourhoods are compared by registers, in blocks,
+and neighbourhoods that hold a pair whose registers agree enough for verification become one. Where a neighbourhood holds
+more than one component of verified links, the texts outside of its largest component are compared with all others of the
+neighbourhood, in blocks: by registers first, then on whole texts, skipping what the block has united already. A block
+returns a spanning forest of its links. Texts of one component need no further pair, so of the pairs that meet in a bucket
+no link between different groups is lost, and no group is expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ ESTIMATE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 #: Texts less alike to the member that their bucket was verified against aren't of its neighbourhood.
 NEIGHBOUR = 0.5
 BLOCK = 512
+#: Members of a bucket in a block, where only a byte of each register travels.
+BUCKET_BLOCK = 4096
 FILTER_BITS = 1 << 25
 MEMO = 100_000
 WORD = re.compile(r"\w+")
@@ -142,7 +146,7 @@ def _recent(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, digest, keys, registers) of every document; texts without words have no keys."""
+    """(id, digest, keys, registers, their lowest bytes) of every document; texts without words have no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own("minhash")
@@ -159,11 +163,12 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                         pa.array([hashlib.md5((t or "").encode(), usedforsecurity=False).digest() if t else None for t in texts], type=pa.binary()),
                         pa.array([k if len(s[0]) else None for k, s in zip(keys, sets, strict=True)], type=pa.list_(pa.int64())),
                         pa.array([h.astype(np.uint32).tobytes() if len(s[0]) else None for h, s in zip(held, sets, strict=True)], type=pa.binary()),
+                        pa.array([h.astype(np.uint8).tobytes() if len(s[0]) else None for h, s in zip(held, sets, strict=True)], type=pa.binary()),
                     ],
-                    names=["id", "digest", "keys", "registers"],
+                    names=["id", "digest", "keys", "registers", "low"],
                 )
 
-    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id bigint, digest binary, keys array<bigint>, registers binary")
+    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id bigint, digest binary, keys array<bigint>, registers binary, low binary")
 
 
 def narrowed(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -197,6 +202,36 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, score double")
 
 
+def bridges(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of neighbourhoods that hold two members of one bucket alike by registers: a spanning forest for each block.
+
+    ``rows`` has key (bucket), place (neighbourhood), id, low (the lowest byte of each register), blocks, major. All rows
+    are dealt to the blocks of their bucket; those outside of its largest neighbourhood are probes and go to each of them.
+    Bytes agree wherever registers do, so no pair that registers would pass is lost; pairs are verified afterwards.
+    """
+    own = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("probe", F.lit(False))
+    probes = rows.filter("place <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
+    columns = ["key", "block", "place", "low", "probe"]
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = np.frombuffer(b"".join(pdf["low"]), dtype=np.uint8).reshape(len(pdf), -1)
+        places, named = np.unique(pdf["place"].to_numpy(), return_inverse=True)
+        probe = pdf["probe"].to_numpy(dtype=bool)
+        root = np.arange(len(places))  # the set of each place, kept flat
+        out, mine = [], np.flatnonzero(~probe)
+        owners, table = named[mine], held[mine]
+        for p in np.flatnonzero(probe):
+            far = np.flatnonzero(root[owners] != root[named[p]])
+            near = far[(table[far] == held[p]).mean(axis=1) >= ESTIMATE]
+            for other in np.unique(root[owners[near]]):
+                here = root[named[p]]
+                out.append((places[max(here, other)], places[min(here, other)]))
+                root[root == max(here, other)] = min(here, other)
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return own.select(*columns).unionByName(probes.select(*columns)).groupBy("key", "block").applyInPandas(compare, "a bigint, b bigint")
+
+
 def links_within(rows: DataFrame, threshold: float) -> DataFrame:
     """Further links (a, b) between components of one neighbourhood: a spanning forest for each block.
 
@@ -257,12 +292,24 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     shared = stored(banded.join(sizes, F.col("key") == F.col("k")).select("key", "id", "n"))
     met = shared.groupBy("id").agg(F.sum("n").alias("met")).withColumnRenamed("id", "i")
     pivots = shared.join(met, F.col("id") == F.col("i")).groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("pivot")).withColumnRenamed("key", "k")
-    pairs = stored(shared.join(pivots, F.col("key") == F.col("k")).filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
+    # Of a bucket of two the pivot's pair is the only one; the pivot's pairs need no other check than their verification.
+    members = stored(shared.join(pivots, F.col("key") == F.col("k")).filter("id <> pivot").select("key", "id", "pivot", "n"))
+    pairs = stored(members.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     alike = stored(verified(pairs, texts, NEIGHBOUR))
     links = alike.filter(F.col("score") >= threshold).select("a", "b")
     components = stored(connected_components(links))
-    around = connected_components(alike.select("a", "b")).toDF("id", "place")
+    around = stored(connected_components(alike.select("a", "b")).toDF("id", "place"))
+    apart = members.filter("n > 2").select("key", "id").join(around.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("key", "id", F.coalesce("place", "id").alias("place"))
+    counts = apart.groupBy("key", "place").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "place")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
+    mixed = mixed.select(F.col("key").alias("k"), F.col("largest.place").alias("major"), F.ceil(F.col("total") / BUCKET_BLOCK).cast("int").alias("blocks"))
+    low = nodes.select(F.col("id").alias("nid"), "low")
+    bridged = stored(bridges(apart.join(mixed, F.col("key") == F.col("k")).join(low, F.col("id") == F.col("nid"))).distinct())
+    if not bridged.isEmpty():
+        ends = bridged.select(F.col("a").alias("id")).union(bridged.select("b")).select("id", F.col("id").alias("place"))
+        wider = connected_components(bridged).toDF("p", "wide")
+        around = around.union(ends).distinct().join(wider, F.col("place") == F.col("p"), "left").select("id", F.coalesce("wide", "place").alias("place"))
     placed = stored(around.join(components.toDF("member", "component"), F.col("id") == F.col("member"), "left").select("id", "place", F.coalesce("component", "id").alias("component")))
     counts = placed.groupBy("place", "component").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("place").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")

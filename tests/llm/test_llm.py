@@ -90,6 +90,36 @@ def test_groups_match_brute_force(spark):
     assert got == classes_by_force(texts)
 
 
+def unlike_pivots(rng):
+    """Two texts that are near-duplicates, and for each bucket that they meet in four others that meet more but are like neither."""
+    while True:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+        texts = [" ".join(words), edited(rng, " ".join(words), 3)]
+        sets = [minhash.shingles(t) for t in texts]
+        held = minhash.signatures(sets)
+        keys = minhash.band_keys(held)
+        shared = np.flatnonzero(keys[0] == keys[1])
+        if 0 < len(shared) <= 4 and minhash.probability_jaccard(*sets) >= 0.8:
+            break
+    at = {int(minhash.shingles(" ".join(words[i : i + 5]))[0][0]): words[i : i + 5] for i in range(len(words) - 4)}
+    for band in shared:
+        passages = [at[h] for h in dict.fromkeys(held[0].reshape(minhash.BANDS, minhash.ROWS)[band].tolist())]
+        found = []
+        while len(found) < 4:  # the others are copies of the first but for a word
+            text = f"{found[0]} g{rng.randrange(10**6)}" if found else " ".join(" ".join([*p, f"f{rng.randrange(10**6)}"]) for p in passages)
+            if minhash.band_keys(minhash.signatures([minhash.shingles(text)]))[0, band] == keys[0, band]:
+                found.append(text)
+        texts += found
+    return texts
+
+
+def test_pairs_that_are_unlike_their_pivots_are_found(spark):
+    rng = random.Random(3)
+    texts = [t for _ in range(4) for t in unlike_pivots(rng)]
+    got = {r.doc_id: r.class_id for r in minhash.groups(docs(spark, texts)).collect()}
+    assert got == classes_by_force(texts)
+
+
 def test_groups_of_odd_tables(spark):
     assert minhash.groups(docs(spark, ["a"]).limit(0)).count() == 0
     rows = docs(spark, ["same text here for all of us"] * 3).union(docs(spark, ["same text here for all of us"] * 3)).union(docs(spark, ["x"]).withColumn("doc_id", F.lit(None).cast("long")))
