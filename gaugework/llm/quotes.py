@@ -26,8 +26,10 @@ from gaugework.llm.common import stored
 MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 #: Lines that announce a quote in mail of several languages.
 ATTRIBUTION = re.compile(r"(?i)^[ \t]*(?:on|am|le|el|il)\b.{0,300}\b(?:wrote|schrieb|écrit|escribió|ha scritto)\b.{0,100}:[ \t]*$|^[ \t]*[^:\n]{1,120}\b(?:wrote|writes|schrieb|said):[ \t]*$")
-#: Shorter lines are too common to say where they come from; they link only as part of a longer passage.
+#: Shorter lines and paragraphs are too common to say which other conversation they come from; they link within their own.
 LEAST_CHARS = 12
+#: Marks of digests of shorter units: any such unit, for its own conversation; a whole text, for other conversations.
+SHORT, SHORT_WHOLE = "~", "="
 
 
 def normal(text: str) -> str:
@@ -68,7 +70,14 @@ def units(text: str) -> list[str]:
     paragraphs = re.split(r"\n\s*\n", text)
     lines = text.split("\n")
     found = [text, *(paragraphs if len(paragraphs) > 1 else []), *(lines if len(lines) > 1 else [])]
-    return list(dict.fromkeys(digest(x) for i, x in enumerate(found) if normal(x) and (not i or len(normal(x)) >= LEAST_CHARS)))
+    out: list[str] = []
+    for i, x in enumerate(found):
+        n = len(normal(x))
+        if n >= LEAST_CHARS:
+            out.append(digest(x))
+        elif n:
+            out += [SHORT + digest(x), *([] if i else [SHORT_WHOLE + digest(x)])]
+    return list(dict.fromkeys(out))
 
 
 def parsed(messages: DataFrame, conversation: str, turn: str, role: str, text: str) -> DataFrame:
@@ -120,15 +129,17 @@ def conversations(messages: DataFrame, conversation: str = "conv_id", turn: str
     held = held.join(wanted.withColumnRenamed("digest", "wanted"), F.col("unit") == F.col("wanted"), "left_semi")
     own = held.groupBy("conv", "unit").agg(F.min("turn").alias("first_turn")).select(F.col("conv").alias("own_conv"), F.col("unit").alias("own_unit"), "first_turn")
     # Of any unit the two earliest conversations, as the first may be the quoting one itself.
-    anywhere = own.groupBy("own_unit").agg(F.min(F.struct("own_conv", "first_turn")).alias("least"))
-    second = own.join(anywhere.select(F.col("own_unit").alias("u"), F.col("least.own_conv").alias("c")), (F.col("own_unit") == F.col("u")) & (F.col("own_conv") != F.col("c")))
+    others = own.filter(~F.col("own_unit").startswith(SHORT))
+    anywhere = others.groupBy("own_unit").agg(F.min(F.struct("own_conv", "first_turn")).alias("least"))
+    second = others.join(anywhere.select(F.col("own_unit").alias("u"), F.col("least.own_conv").alias("c")), (F.col("own_unit") == F.col("u")) & (F.col("own_conv") != F.col("c")))
     second = second.groupBy("own_unit").agg(F.min(F.struct("own_conv", "first_turn")).alias("next")).withColumnRenamed("own_unit", "next_unit")
     anywhere = anywhere.join(second, F.col("own_unit") == F.col("next_unit"), "left").select(F.col("own_unit").alias("any_unit"), "least", "next")
-    found = quotes.join(own, (F.col("conv") == F.col("own_conv")) & (F.col("digest") == F.col("own_unit")) & (F.col("first_turn") < F.col("turn")), "left").join(anywhere, F.col("digest") == F.col("any_unit"), "left")
+    found = quotes.join(own, (F.col("conv") == F.col("own_conv")) & (F.col("digest") == F.col("own_unit")) & (F.col("first_turn") < F.col("turn")) & ~F.col("digest").startswith(SHORT_WHOLE), "left").join(anywhere, F.col("digest") == F.col("any_unit"), "left")
     other = F.when(F.col("least.own_conv") != F.col("conv"), F.col("least")).otherwise(F.col("next"))
-    found = found.select("conv", "turn", "passage", "level", "rank", F.when(F.col("first_turn").isNotNull(), F.struct(F.lit(1).alias("same"), F.col("conv").alias("c"), F.col("first_turn").alias("t"))).when(other.isNotNull(), F.struct(F.lit(0).alias("same"), other["own_conv"].alias("c"), other["first_turn"].alias("t"))).alias("source"))
-    # The longest unit of a passage that is found anywhere says where the passage comes from.
-    passages = found.filter("source is not null").groupBy("conv", "turn", "passage", "level").agg(F.max_by("source", F.struct(F.col("source.same"), -F.col("rank"))).alias("source"))
+    short = F.col("digest").startswith(SHORT) | F.col("digest").startswith(SHORT_WHOLE)
+    found = found.select("conv", "turn", "passage", "level", "rank", short.alias("short"), F.when(F.col("first_turn").isNotNull(), F.struct(F.lit(1).alias("same"), F.col("conv").alias("c"), F.col("first_turn").alias("t"))).when(other.isNotNull(), F.struct(F.lit(0).alias("same"), other["own_conv"].alias("c"), other["first_turn"].alias("t"))).alias("source"))
+    # The longest unit of a passage that is found anywhere says where the passage comes from; short units speak last.
+    passages = found.filter("source is not null").groupBy("conv", "turn", "passage", "level").agg(F.max_by("source", F.struct(~F.col("short"), F.col("source.same"), -F.col("rank"))).alias("source"))
     per = passages.groupBy("conv", "turn").agg(F.count("*").alias("n_linked"), F.max(F.struct((-F.col("level")).alias("level"), F.col("source"))).alias("nearest"))
     per = per.select(F.col("conv").alias("pc"), F.col("turn").alias("pt"), "n_linked", F.col("nearest.source.c").alias("rc"), F.col("nearest.source.t").alias("rt"))
     turns = before(rows.filter("conv is not null and turn is not null").select("conv", "turn").distinct())

@@ -170,6 +170,13 @@ def test_quotes_are_linked(spark):
     assert quotes.conversations(df.limit(0)).count() == 0
 
 
+def test_short_quotes_are_linked_within_their_conversation(spark):
+    rows = [(1, 0, "u", "Shall we meet?\nok, Friday\nUntil then"), (1, 1, "a", "Something else entirely"), (1, 2, "u", "> OK,  Friday\nGood"), (2, 0, "u", "> ok, Friday\nWhat?"), (3, 0, "u", "Yes"), (4, 0, "u", "> yes\nNo")]
+    out = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    got = {(r.conv_id, r.turn): (r.n_linked, r.reply_conv, r.reply_turn, r.linked) for r in out}
+    assert got[1, 2] == (1, 1, 0, True) and got[2, 0] == (0, None, None, False) and got[4, 0] == (1, 3, 0, True)
+
+
 def test_turn_before(spark):
     rng = random.Random(2)
     rows = sorted({(rng.randrange(4) if rng.random() < 0.5 else 9, rng.randrange(400)) for _ in range(500)})
