@@ -9,14 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
-#: Rows with whole texts that Spark and a Python worker hold at a time.
-BATCH_ROWS = 1024
-
-
 def ship(spark: SparkSession) -> None:
     """Send the package's sources to the executors, once for each Spark context."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_gaugework_shipped", False):
         return
