@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.functions.checkpoint import cut, ensure_checkpoint_dir
+from gaugework.functions.checkpoint import cut, discard, ensure_checkpoint_dir, stored
 from gaugework.functions.shipping import ship
 
 
-__all__ = ["cut", "ensure_checkpoint_dir", "held_out", "map_rows", "ship", "stored", "table"]
+__all__ = ["carried", "cut", "discard", "ensure_checkpoint_dir", "field", "held_out", "map_rows", "restored", "ship", "slices", "stored", "table"]
+
+#: Rows, and bytes of text, that a Python worker turns into objects at a time; a longer text goes alone.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +28,32 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a Parquet table in the shared checkpoint folder and read back, which cuts its lineage.
+def carried(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as one struct column ``row``, so that no column of theirs clashes with one that is added."""
+    return docs.select(F.struct(*(docs[f"`{c.replace('`', '``')}`"] for c in docs.columns)).alias("row"))
 
-    The columns are compressed, and a reader takes only those that it needs.
-    """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def field(name: str) -> Column:
+    """A column of a carried row."""
+    return F.col("row").getField(name)
+
+
+def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of carried rows."""
+    return rows.select(*(field(c).alias(c) for c in columns))
+
+
+def slices(batch: pa.RecordBatch, *texts: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of few rows and few bytes in the columns ``texts``."""
+    size = sum(pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False).astype("int64") for i in texts)
+    start = held = 0
+    for i, n in enumerate(size.tolist()):
+        if i > start and (i - start >= SLICE_ROWS or held + n > SLICE_BYTES):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def map_rows(df: DataFrame, keys: list[str], text: str, schema: str, row: Callable[[str], tuple], names: list[str]) -> DataFrame:
@@ -44,8 +65,7 @@ def map_rows(df: DataFrame, keys: list[str], text: str, schema: str, row: Callab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in slices(whole, len(keys)):
                 out = [row(t or "") for t in batch.column(len(keys)).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i) for i in range(len(keys))), *(pa.array([r[i] for r in out], type=types[i]) for i in range(len(names)))],

@@ -13,7 +13,8 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star rounds: each joins links with the minimum of a node's neighbours, so a round shuffles as
     many rows as there are links, minima are combined before the shuffle, and the number of rounds grows with the
-    logarithm of the longest path. Links with a null end are dropped. Each round is cut in the checkpoint folder.
+    logarithm of the longest path. Links with a null end are dropped. Each round is cut in the checkpoint folder. A graph
+    that isn't done after ``most_rounds`` is an error, not a partial result.
     """
     links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a is not null and b is not null and a <> b").distinct())
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
@@ -30,5 +31,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components aren't final after {most_rounds} rounds")
     found = links.groupBy("a").agg(F.min("b").alias("component"))
     return nodes.join(found, F.col("node") == F.col("a"), "left").select("node", F.coalesce("component", "node").alias("component"))

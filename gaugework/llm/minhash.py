@@ -5,14 +5,12 @@ of arrivals with its weight as rate, each arrival falls on one register, and a r
 first. An element whose next arrival comes after the last register was taken is done, so most elements need one or two
 draws. The share of equal registers estimates the probability Jaccard similarity of two texts.
 
-Bands of registers give buckets. Within a bucket every text is first verified against one member alone, the one that meets
-the most others in its buckets, which is linear however large the bucket. Texts that are at least half alike to such a
-member form neighbourhoods. Members of a bucket that lie in different neighbourhoods are compared by registers, in blocks,
-and neighbourhoods that hold a pair whose registers agree enough for verification become one. Where a neighbourhood holds
-more than one component of verified links, the texts outside of its largest component are compared with all others of the
-neighbourhood, in blocks: by registers first, then on whole texts, skipping what the block has united already. A block
-returns a spanning forest of its links. Texts of one component need no further pair, so of the pairs that meet in a bucket
-no link between different groups is lost, and no group is expanded into all pairs.
+Bands of registers give buckets. Within a bucket every text is first verified against one member alone, the one that
+meets the most others in its buckets, which is linear however large the bucket, and the links are united. Where the other
+members of a bucket then lie in several components, those outside of its largest component are compared with all members
+by a longer sketch, a byte for each of its registers and no texts. What agrees enough to be a link is verified on whole
+texts: first the likeliest pair of two components, then all others whose components still differ. Texts of one component
+need no further pair, so of the pairs that meet in a bucket no link between different groups is lost.
 """
 
 from __future__ import annotations
@@ -30,21 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gaugework.functions.shipping import ship
-from gaugework.llm.common import stored
+from gaugework.llm.common import carried, discard, field, restored, ship, slices, stored
 from gaugework.llm.graph import connected_components
 from gaugework.llm.memo import own
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
-#: Pairs whose registers agree less than this aren't verified: four standard deviations below the threshold.
-ESTIMATE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
-#: Texts less alike to the member that their bucket was verified against aren't of its neighbourhood.
-NEIGHBOUR = 0.5
-BLOCK = 512
-#: Members of a bucket in a block, where only a byte of each register travels.
-BUCKET_BLOCK = 4096
+#: Registers of the longer sketch. Pairs that agree less than four standard deviations below the threshold, on all of them
+#: or on the first COARSE, aren't verified; pairs that agree four above it stand for their two components at first.
+FINE, COARSE = 512, 128
+#: Members of a bucket in a block of comparisons.
+BLOCK = 4096
 FILTER_BITS = 1 << 25
 MEMO = 100_000
 WORD = re.compile(r"\w+")
@@ -83,6 +78,11 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return found, counts.astype(float)
 
 
+def margin(threshold: float, registers: int) -> float:
+    """Four standard deviations of the share of equal registers."""
+    return 4 * (threshold * (1 - threshold) / registers) ** 0.5
+
+
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS) -> np.ndarray:
     """ProbMinHash registers of each set, as the elements that hold them; an empty set has registers 0."""
     n = len(sets)
@@ -146,29 +146,38 @@ def _recent(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, digest, keys, registers, their lowest bytes) of every document; texts without words have no keys."""
+    """(id, digest, keys) of every document; empty texts have no digest, texts without words no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own("minhash")
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
+            for batch in slices(whole, 1):
                 texts = batch.column(1).to_pylist()
                 sets = [shingles(t) for t in texts]
-                held = signatures(sets)
-                keys = band_keys(held)
+                keys = band_keys(signatures(sets))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
-                        pa.array([hashlib.md5((t or "").encode(), usedforsecurity=False).digest() if t else None for t in texts], type=pa.binary()),
+                        pa.array([hashlib.md5(t.encode(), usedforsecurity=False).digest() if t else None for t in texts], type=pa.binary()),
                         pa.array([k if len(s[0]) else None for k, s in zip(keys, sets, strict=True)], type=pa.list_(pa.int64())),
-                        pa.array([h.astype(np.uint32).tobytes() if len(s[0]) else None for h, s in zip(held, sets, strict=True)], type=pa.binary()),
-                        pa.array([h.astype(np.uint8).tobytes() if len(s[0]) else None for h, s in zip(held, sets, strict=True)], type=pa.binary()),
                     ],
-                    names=["id", "digest", "keys", "registers", "low"],
+                    names=["id", "digest", "keys"],
                 )
 
-    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id bigint, digest binary, keys array<bigint>, registers binary, low binary")
+    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id bigint, digest binary, keys array<bigint>")
+
+
+def fine_sketch(texts: DataFrame) -> DataFrame:
+    """(node, held): the lowest byte of each of FINE registers of the texts (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("minhash")
+        for whole in batches:
+            for batch in slices(whole, 1):
+                held = signatures([shingles(t) for t in batch.column(1).to_pylist()], FINE).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in held], type=pa.binary())], names=["node", "held"])
+
+    return texts.mapInArrow(run, "node bigint, held binary")
 
 
 def narrowed(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -184,148 +193,174 @@ def narrowed(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return found.drop("p", "w")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts have a similarity of ``least`` or more, with it. ``texts`` has id and text."""
+def texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the nodes ``wanted`` (node); ``nodes`` has their key and digest, ``texts`` is (id, text)."""
+    named = wanted.withColumnRenamed("node", "n").join(nodes, F.col("n") == F.col("node")).select("node", "least", "digest")
+    rows = narrowed(texts, named.select(F.col("least").alias("id"))).withColumn("of", F.unhex(F.md5(F.encode("text", "UTF-8"))))
+    return rows.join(named, (F.col("id") == F.col("least")) & (F.col("of") == F.col("digest"))).select("node", "text")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose whole texts have a similarity of ``threshold`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own("minhash")
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                rows = whole.slice(at, 256)
+            for rows in slices(whole, 2, 3):
                 a, b = rows.column(2).to_pylist(), rows.column(3).to_pylist()
-                score = np.array([probability_jaccard(shingles(x), _recent(y)) for x, y in zip(a, b, strict=True)], dtype=float)
-                keep = pa.array(score >= least, type=pa.bool_())
-                yield pa.RecordBatch.from_arrays([rows.column(0).filter(keep), rows.column(1).filter(keep), pa.array(score).filter(keep)], names=["a", "b", "score"])
+                keep = pa.array([probability_jaccard(shingles(x), _recent(y)) >= threshold for x, y in zip(a, b, strict=True)], type=pa.bool_())
+                yield pa.RecordBatch.from_arrays([rows.column(0).filter(keep), rows.column(1).filter(keep)], names=["a", "b"])
+        _recent.cache_clear()
 
-    left = narrowed(texts, pairs.select(F.col("a").alias("id"))).toDF("ta", "text_a")
-    right = narrowed(texts, pairs.select(F.col("b").alias("id"))).toDF("tb", "text_b")
-    both = pairs.join(left, F.col("a") == F.col("ta")).select("a", "b", "text_a").join(right, F.col("b") == F.col("tb"))
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, score double")
+    left = texts_of(pairs.select(F.col("a").alias("node")).distinct(), nodes, texts).toDF("ta", "text_a")
+    right = texts_of(pairs.select(F.col("b").alias("node")).distinct(), nodes, texts).toDF("tb", "text_b")
+    both = pairs.select("a", "b").join(left, F.col("a") == F.col("ta")).select("a", "b", "text_a").join(right, F.col("b") == F.col("tb"))
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def bridges(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of neighbourhoods that hold two members of one bucket alike by registers: a spanning forest for each block.
+def candidates(rows: DataFrame, threshold: float, sure: float) -> DataFrame:
+    """Pairs (a, b, alike) of members of a bucket in different components that the longer sketch finds alike enough.
 
-    ``rows`` has key (bucket), place (neighbourhood), id, low (the lowest byte of each register), blocks, major. All rows
-    are dealt to the blocks of their bucket; those outside of its largest neighbourhood are probes and go to each of them.
-    Bytes agree wherever registers do, so no pair that registers would pass is lost; pairs are verified afterwards.
+    ``rows`` has key (bucket), node, component, held, blocks, major (the bucket's largest component). Members lie in
+    blocks; those outside of the largest component are probes, dealt to blocks of their own, and every block of probes
+    meets every block of members. A pair that agrees ``sure`` or more unites its components within a block, so it is the
+    only one of theirs that comes out; of the others all do.
     """
-    own = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("probe", F.lit(False))
-    probes = rows.filter("place <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
-    columns = ["key", "block", "place", "low", "probe"]
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    grid = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    own_side = rows.withColumn("block", block).withColumn("other", grid).withColumn("probe", F.lit(False))
+    probes = rows.filter("component <> major").withColumn("other", block).withColumn("block", grid).withColumn("probe", F.lit(True))
+    columns = ["key", "block", "other", "node", "component", "major", "held", "probe"]
+    coarse_least, fine_least = threshold - margin(threshold, COARSE), threshold - margin(threshold, FINE)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = np.frombuffer(b"".join(pdf["low"]), dtype=np.uint8).reshape(len(pdf), -1)
-        places, named = np.unique(pdf["place"].to_numpy(), return_inverse=True)
+        none = pd.DataFrame({"a": [], "b": [], "alike": []}).astype({"a": "int64", "b": "int64", "alike": "float64"})
         probe = pdf["probe"].to_numpy(dtype=bool)
-        root = np.arange(len(places))  # the set of each place, kept flat
-        out, mine = [], np.flatnonzero(~probe)
-        owners, table = named[mine], held[mine]
+        if probe.all() or not probe.any():
+            return none
+        held = np.frombuffer(b"".join(pdf["held"]), dtype=np.uint8).reshape(len(pdf), -1)
+        node, component = pdf["node"].to_numpy(), pdf["component"].to_numpy()
+        places, named = np.unique(component, return_inverse=True)
+        root = np.arange(len(places))  # the set of each component, kept flat
+        mine = np.flatnonzero(~probe)
+        owners, table, numbers, twice = named[mine], held[mine], node[mine], component[mine] != pdf["major"].iloc[0]
+        out = []
         for p in np.flatnonzero(probe):
-            far = np.flatnonzero(root[owners] != root[named[p]])
-            near = far[(table[far] == held[p]).mean(axis=1) >= ESTIMATE]
-            for other in np.unique(root[owners[near]]):
-                here = root[named[p]]
-                out.append((places[max(here, other)], places[min(here, other)]))
-                root[root == max(here, other)] = min(here, other)
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return own.select(*columns).unionByName(probes.select(*columns)).groupBy("key", "block").applyInPandas(compare, "a bigint, b bigint")
-
-
-def links_within(rows: DataFrame, threshold: float) -> DataFrame:
-    """Further links (a, b) between components of one neighbourhood: a spanning forest for each block.
-
-    ``rows`` has place (neighbourhood), id, component, registers, text, blocks, major. All rows are dealt to the blocks of
-    their neighbourhood; those outside of its largest component are probes and go to each of them.
-    """
-    own = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("probe", F.lit(False))
-    probes = rows.filter("component <> major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
-    columns = ["place", "block", "id", "component", "registers", "text", "probe"]
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["probe", "id"])
-        held = np.stack([np.frombuffer(r, dtype=np.uint32) for r in pdf["registers"]])
-        ids, component, probe, texts = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["probe"].to_numpy(dtype=bool), pdf["text"].tolist()
-        root = {c: c for c in component.tolist()}
-        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def top(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        def of(k: int) -> tuple[np.ndarray, np.ndarray]:
-            if k not in sets:
-                sets[k] = shingles(texts[k])
-            return sets[k]
-
-        out, mine = [], np.flatnonzero(~probe)
-        for p in np.flatnonzero(probe):
-            alike = (held[mine] == held[p]).mean(axis=1)
-            near = np.flatnonzero(alike >= ESTIMATE)
-            for k in mine[near[np.argsort(-alike[near], kind="stable")]]:
-                a, b = top(component[p]), top(component[k])
-                if a != b and probability_jaccard(of(p), of(k)) >= threshold:
-                    root[max(a, b)] = min(a, b)
-                    out.append((max(ids[p], ids[k]), min(ids[p], ids[k])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return own.select(*columns).unionByName(probes.select(*columns)).groupBy("place", "block").applyInPandas(compare, "a bigint, b bigint")
+            # A pair of probes meets in two cells of the grid; it counts where the greater node is the probe.
+            far = np.flatnonzero((root[owners] != root[named[p]]) & ~(twice & (numbers >= node[p])))
+            far = far[(table[far, :COARSE] == held[p, :COARSE]).mean(axis=1) >= coarse_least]
+            alike = (table[far] == held[p]).mean(axis=1)
+            near = np.flatnonzero(alike >= fine_least)
+            for k in near[np.argsort(-alike[near], kind="stable")]:
+                here, there = root[named[p]], root[owners[far[k]]]
+                if here == there:
+                    continue
+                other = numbers[far[k]]
+                out.append((max(node[p], other), min(node[p], other), alike[k]))
+                if alike[k] >= sure:
+                    root[root == max(here, there)] = min(here, there)
+        return pd.DataFrame(out, columns=["a", "b", "alike"]) if out else none
+
+    return own_side.select(*columns).unionByName(probes.select(*columns)).groupBy("key", "block", "other").applyInPandas(compare, "a bigint, b bigint, alike double")
+
+
+def further_links(members: DataFrame, links: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
+    """Links (a, b) between different components of one bucket, of which ``members`` (key, node) leaves out the pivot."""
+    components = stored(connected_components(links).toDF("member", "component"))
+    apart = members.join(components, F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    apart = stored(apart)
+    counts = apart.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
+    mixed = stored(mixed.select(F.col("key").alias("k"), F.col("largest.component").alias("major"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks")))
+    placed = apart.join(mixed, F.col("key") == F.col("k")).drop("k")
+    drawn = stored(fine_sketch(texts_of(placed.select("node").distinct(), nodes, texts)))
+    rows = placed.join(drawn.withColumnRenamed("node", "d"), F.col("node") == F.col("d")).drop("d")
+    found = stored(candidates(rows, threshold, threshold + margin(threshold, FINE)).groupBy("a", "b").agg(F.max("alike").alias("alike")))
+    more = None
+    for certain in (True, False):
+        left = joined_apart(found, components)
+        if left.isEmpty():
+            break
+        if certain:  # the likeliest pair of each two components
+            left = left.groupBy(F.least("ca", "cb").alias("c"), F.greatest("ca", "cb").alias("d")).agg(F.max_by(F.struct("a", "b", "alike"), F.struct("alike", "a", "b")).alias("best")).select("best.*")
+        left = stored(left.select("a", "b", "alike"))
+        checked = stored(verified(left, nodes, texts, threshold))
+        failed = left.filter(F.col("alike") >= threshold + margin(threshold, FINE)).join(checked.toDF("x", "y"), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
+        if certain and not failed.isEmpty():
+            # A pair that was sure isn't a link, so what it stood for comes out as pairs too.
+            found = stored(candidates(rows, threshold, 2.0).groupBy("a", "b").agg(F.max("alike").alias("alike")))
+        more = checked if more is None else more.unionByName(checked)
+        components = stored(connected_components(links.unionByName(more)).toDF("member", "component"))
+        discard(left)
+    discard(apart, mixed, drawn, found)
+    return more
+
+
+def joined_apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components, with these as ca and cb."""
+    a, b = components.toDF("ma", "ca"), components.toDF("mb", "cb")
+    both = pairs.join(a, F.col("a") == F.col("ma"), "left").join(b, F.col("b") == F.col("mb"), "left")
+    return both.select("a", "b", "alike", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca <> cb")
+
+
+def marked(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """Per document: id, digest (null for an empty text), class_id, kept."""
+    ship(docs.sparkSession)
+    sketches = stored(sketch(docs, key, text).withColumn("row", F.monotonically_increasing_id()))
+    # A node is a text; it is named by the row that has it with the smallest key.
+    named = sketches.filter("id is not null and digest is not null").groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"))
+    nodes = stored(named.select("digest", F.col("first.id").alias("least"), F.col("first.row").alias("node")))
+    banded = sketches.filter("keys is not null").join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), F.explode("keys").alias("key"))
+    sizes = stored(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("key", "k"))
+    shared = stored(banded.join(sizes, F.col("key") == F.col("k")).select("key", "node", "n"))
+    met = shared.groupBy("node").agg(F.sum("n").alias("met")).withColumnRenamed("node", "i")
+    pivots = stored(shared.join(met, F.col("node") == F.col("i")).groupBy("key").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("pivot")).withColumnRenamed("key", "k"))
+    # Of a bucket of two the pivot's pair is the only one; the pivot's pairs need no other check than their verification.
+    members = stored(shared.join(pivots, F.col("key") == F.col("k")).filter("node <> pivot").select("key", "node", "pivot", "n"))
+    discard(sizes, shared, pivots)
+    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    pairs = stored(members.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+    links = stored(verified(pairs, nodes, texts, threshold))
+    more = further_links(members.filter("n > 2").select("key", "node"), links, nodes, texts, threshold)
+    discard(members, pairs)
+    components = connected_components(links if more is None else links.unionByName(more)).toDF("member", "component")
+    grouped = stored(nodes.join(components, F.col("node") == F.col("member")).select("node", "least", "digest", "component"))
+    firsts = stored(grouped.groupBy("component").agg(F.min(F.struct("least", "digest")).alias("first")).withColumnRenamed("component", "c"))
+    grouped = grouped.join(firsts, F.col("component") == F.col("c")).select(F.col("node").alias("g"), "first")
+    classes = nodes.join(grouped, F.col("node") == F.col("g"), "left").select(F.col("digest").alias("of"), F.coalesce("first", F.struct("least", "digest")).alias("first"))
+    found = sketches.select("id", "digest").join(stored(classes), F.col("digest") == F.col("of"), "left")
+    kept = (F.col("id") == F.col("first.least")) & (F.col("digest") == F.col("first.digest"))
+    return found.select("id", "digest", F.when(F.col("id").isNotNull(), F.coalesce("first.least", "id")).alias("class_id"), F.when(F.col("id").isNull() | F.col("digest").isNull(), True).otherwise(kept).alias("kept"))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: key, class_id (the smallest key of its group of near-duplicates), kept (it is that key).
+    """Per document: key, class_id (the smallest key of its group of near-duplicates), kept (it is the group's first).
 
     A group is a component of links of probability Jaccard similarity ``threshold`` or more over shingles of five words.
-    Equal texts are one. Null and empty texts are near nothing; texts without words are near their equals alone. Rows
-    that repeat a key repeat its class; a null key has a null class and is kept. An empty table gives no rows.
+    Equal texts are one. Null and empty texts are near nothing, are their own class and kept; texts without words are near
+    their equals alone. Of different texts under one key each has the class of its own group; where one group holds several
+    of them, the first by digest is kept. Rows that repeat a key and a text have the same result. A null key has a null
+    class and is kept. An empty table gives no rows. Further columns are left out before anything is added.
     """
-    ship(docs.sparkSession)
-    sketches = stored(sketch(docs, key, text))
-    least = sketches.filter("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("least")).withColumnRenamed("digest", "of")
-    named = stored(sketches.select("id", "digest").join(least, F.col("digest") == F.col("of"), "left").select("id", F.coalesce("least", "id").alias("node")))
-    distinct = named.filter("id = node").select(F.col("id").alias("own")).distinct()
-    nodes = sketches.filter("keys is not null").join(distinct, F.col("id") == F.col("own"), "left_semi")
-    banded = nodes.select("id", F.explode("keys").alias("key")).distinct()
-    sizes = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("key", "k")
-    shared = stored(banded.join(sizes, F.col("key") == F.col("k")).select("key", "id", "n"))
-    met = shared.groupBy("id").agg(F.sum("n").alias("met")).withColumnRenamed("id", "i")
-    pivots = shared.join(met, F.col("id") == F.col("i")).groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("pivot")).withColumnRenamed("key", "k")
-    # Of a bucket of two the pivot's pair is the only one; the pivot's pairs need no other check than their verification.
-    members = stored(shared.join(pivots, F.col("key") == F.col("k")).filter("id <> pivot").select("key", "id", "pivot", "n"))
-    pairs = stored(members.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
-    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    alike = stored(verified(pairs, texts, NEIGHBOUR))
-    links = alike.filter(F.col("score") >= threshold).select("a", "b")
-    components = stored(connected_components(links))
-    around = stored(connected_components(alike.select("a", "b")).toDF("id", "place"))
-    apart = members.filter("n > 2").select("key", "id").join(around.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("key", "id", F.coalesce("place", "id").alias("place"))
-    counts = apart.groupBy("key", "place").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "place")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = mixed.select(F.col("key").alias("k"), F.col("largest.place").alias("major"), F.ceil(F.col("total") / BUCKET_BLOCK).cast("int").alias("blocks"))
-    low = nodes.select(F.col("id").alias("nid"), "low")
-    bridged = stored(bridges(apart.join(mixed, F.col("key") == F.col("k")).join(low, F.col("id") == F.col("nid"))).distinct())
-    if not bridged.isEmpty():
-        ends = bridged.select(F.col("a").alias("id")).union(bridged.select("b")).select("id", F.col("id").alias("place"))
-        wider = connected_components(bridged).toDF("p", "wide")
-        around = around.union(ends).distinct().join(wider, F.col("place") == F.col("p"), "left").select("id", F.coalesce("wide", "place").alias("place"))
-    placed = stored(around.join(components.toDF("member", "component"), F.col("id") == F.col("member"), "left").select("id", "place", F.coalesce("component", "id").alias("component")))
-    counts = placed.groupBy("place", "component").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("place").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = mixed.select(F.col("place").alias("p"), F.col("largest.component").alias("major"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    rows = stored(placed.join(mixed, F.col("place") == F.col("p")).drop("p"))
-    held = narrowed(texts, rows.select("id")).toDF("tid", "text")
-    drawn = nodes.select(F.col("id").alias("nid"), "registers")
-    more = stored(links_within(rows.join(drawn, F.col("id") == F.col("nid")).join(held, F.col("id") == F.col("tid")), threshold))
-    if not more.isEmpty():
-        components = stored(connected_components(links.unionByName(more)))
-    found = named.join(components.toDF("member", "component"), F.col("node") == F.col("member"), "left")
-    return found.select(F.col("id").alias(key), F.coalesce("component", "node").alias("class_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("class_id"), F.lit(True)))
+    return marked(docs, key, text, threshold).select(F.col("id").alias(key), "class_id", "kept")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each group, the one with the smallest key, with all its columns; of rows that repeat a key, one."""
-    kept = groups(docs, key, text, threshold).filter("kept").select(F.col(key).alias("__kept")).filter("__kept is not null").distinct()
-    numbered = docs.join(kept, F.col(key) == F.col("__kept")).withColumn("__row", F.row_number().over(Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last())))
-    return numbered.filter("__row = 1").drop("__kept", "__row").unionByName(docs.filter(F.col(key).isNull()))
+    """One document of each group, the one with the smallest key, with all its columns.
+
+    Rows are decided one by one: of rows that repeat a key, only those go whose text is near another that stays. Of rows
+    that repeat a key and a text one stays, the first by all columns' hash. Rows with a null key or a null or empty text stay.
+    Further columns may have any name. An empty table gives no rows.
+    """
+    found = stored(marked(docs, key, text, threshold).filter("id is not null and digest is not null"))
+    gone = found.filter("not kept").select("id", "digest").distinct()
+    again = found.filter("kept").groupBy("id", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("id", "digest")
+    digest = F.unhex(F.md5(F.encode(field(text).cast("string"), "UTF-8")))
+    rows = carried(docs).select("row", field(key).cast("bigint").alias("key"), digest.alias("of"))
+    left = rows.join(gone, (F.col("key") == F.col("id")) & (F.col("of") == F.col("digest")), "left_anti")
+    if not again.isEmpty():
+        same = (F.col("key") == F.col("id")) & (F.col("of") == F.col("digest"))
+        hashed = F.xxhash64(*(field(c) for c in docs.columns))
+        first = left.join(again, same, "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("key", "of").orderBy(hashed))).filter("place = 1").drop("place")
+        left = left.join(again, same, "left_anti").unionByName(first)
+    return restored(left, docs.columns)

@@ -120,6 +120,29 @@ def test_pairs_that_are_unlike_their_pivots_are_found(spark):
     assert got == classes_by_force(texts)
 
 
+def test_copies_among_texts_of_one_template(spark):
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(150)]
+    texts = [" ".join([*template, *(f"u{rng.randrange(10**7)}" for _ in range(50))]) for _ in range(2500)]
+    planted = rng.sample(range(2500), 60)
+    texts += [edited(rng, texts[i], 2) for i in planted]
+    sets = [minhash.shingles(t) for t in texts]
+    assert 0.5 < np.mean([minhash.probability_jaccard(sets[i], sets[i + 1]) for i in range(50)]) < 0.7
+    links = [(2500 + k, i) for k, i in enumerate(planted) if minhash.probability_jaccard(sets[2500 + k], sets[i]) >= 0.8]
+    got = {r.doc_id: r.class_id for r in minhash.groups(docs(spark, texts)).collect()}
+    assert len(links) >= 50 and sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links)
+    assert len(set(got.values())) == len(texts) - sum(got[a] == got[b] for a, b in links)
+
+
+def test_different_texts_under_one_key_stay(spark):
+    a, b = "the first text that is here twice over", "another text which nothing else resembles at all"
+    clash = "doc_id long, text string, __kept boolean, __row int, row string, key string, of string, digest string, id long"
+    rows = spark.createDataFrame([(3, a, True, 1, "r", "k", "o", "d", 1), (7, a, True, 1, "r", "k", "o", "d", 1), (7, b, None, 2, "r", "k", "o", "d", 1), (7, b, None, 2, "r", "k", "o", "d", 1), (8, None, None, 1, "", "", "", "", 1), (8, "", None, 1, "", "", "", "", 1)], clash)
+    assert sorted((r.doc_id, r.class_id, r.kept) for r in minhash.groups(rows).collect()) == [(3, 3, True), (7, 3, False), (7, 7, True), (7, 7, True), (8, 8, True), (8, 8, True)]
+    kept = minhash.deduplicated(rows)
+    assert kept.columns == rows.columns and sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(3, a), (7, b), (8, ""), (8, "")]
+
+
 def test_groups_of_odd_tables(spark):
     assert minhash.groups(docs(spark, ["a"]).limit(0)).count() == 0
     rows = docs(spark, ["same text here for all of us"] * 3).union(docs(spark, ["same text here for all of us"] * 3)).union(docs(spark, ["x"]).withColumn("doc_id", F.lit(None).cast("long")))
