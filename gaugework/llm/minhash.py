@@ -8,9 +8,10 @@ draws. The share of equal registers estimates the probability Jaccard similarity
 Bands of registers give buckets. Within a bucket every text is first verified against one member alone, the one that
 meets the most others in its buckets, which is linear however large the bucket, and the links are united. Where the other
 members of a bucket then lie in several components, those outside of its largest component are compared with all members
-by a longer sketch, a byte for each of its registers and no texts. What agrees enough to be a link is verified on whole
-texts: first the likeliest pair of two components, then all others whose components still differ. Texts of one component
-need no further pair, so of the pairs that meet in a bucket no link between different groups is lost.
+by a longer sketch, a byte for each of its registers and no texts. Only members that agree enough with another to be its
+near-duplicate come with their texts then, and are verified in blocks that return a spanning forest of their links. A pair
+is compared in the first bucket that both share, so once. Texts of one component need no further pair, so of the pairs
+that meet in a bucket no link between different groups is lost, and no group is expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
 #: Registers of the longer sketch. Pairs that agree less than four standard deviations below the threshold, on all of them
-#: or on the first COARSE, aren't verified; pairs that agree four above it stand for their two components at first.
+#: or on the first COARSE, aren't verified.
 FINE, COARSE = 512, 128
-#: Members of a bucket in a block of comparisons.
-BLOCK = 4096
+#: Members of a bucket, and bytes of their texts, in a block of comparisons.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 FILTER_BITS = 1 << 25
 MEMO = 100_000
 WORD = re.compile(r"\w+")
@@ -168,16 +169,19 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def fine_sketch(texts: DataFrame) -> DataFrame:
-    """(node, held): the lowest byte of each of FINE registers of the texts (node, text)."""
+    """(node, keys, held, size): band keys, the lowest byte of each of FINE registers, and bytes of the texts (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own("minhash")
         for whole in batches:
             for batch in slices(whole, 1):
-                held = signatures([shingles(t) for t in batch.column(1).to_pylist()], FINE).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in held], type=pa.binary())], names=["node", "held"])
+                texts = batch.column(1).to_pylist()
+                sets = [shingles(t) for t in texts]
+                held = signatures(sets, FINE).astype(np.uint8)
+                columns = [[k.tobytes() for k in band_keys(signatures(sets))], [h.tobytes() for h in held]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=pa.binary()) for c in columns), pa.array([len(t.encode()) for t in texts], type=pa.int64())], names=["node", "keys", "held", "size"])
 
-    return texts.mapInArrow(run, "node bigint, held binary")
+    return texts.mapInArrow(run, "node bigint, keys binary, held binary, size bigint")
 
 
 def narrowed(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -218,89 +222,106 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: fl
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def candidates(rows: DataFrame, threshold: float, sure: float) -> DataFrame:
-    """Pairs (a, b, alike) of members of a bucket in different components that the longer sketch finds alike enough.
+class Members:
+    """The rows of a block: members of one bucket (key) and the probes that they are compared with."""
+
+    def __init__(self, pdf: pd.DataFrame, threshold: float):
+        self.held = np.frombuffer(b"".join(pdf["held"]), dtype=np.uint8).reshape(len(pdf), -1)
+        self.keys = np.frombuffer(b"".join(pdf["keys"]), dtype=np.int64).reshape(len(pdf), -1)
+        self.node, self.component, self.probe = pdf["node"].to_numpy(), pdf["component"].to_numpy(), pdf["probe"].to_numpy(dtype=bool)
+        self.key, self.twice = pdf["key"].iloc[0], self.component != pdf["major"].iloc[0]
+        self.mine = np.flatnonzero(~self.probe)
+        self.coarse, self.fine = threshold - margin(threshold, COARSE), threshold - margin(threshold, FINE)
+        self.root = np.unique(self.component, return_inverse=True)[1]  # the set of each row's component
+
+    def near(self, p: int) -> np.ndarray:
+        """The members of other sets that may be near-duplicates of probe ``p`` and share no earlier bucket with it, the likeliest first.
+
+        A pair of probes meets in two blocks; it counts where the greater node is the probe.
+        """
+        far = self.mine[(self.root[self.mine] != self.root[p]) & ~(self.twice[self.mine] & (self.node[self.mine] >= self.node[p]))]
+        far = far[(self.held[far, :COARSE] == self.held[p, :COARSE]).mean(axis=1) >= self.coarse]
+        alike = (self.held[far] == self.held[p]).mean(axis=1)
+        order = np.argsort(-alike, kind="stable")
+        far = far[order[alike[order] >= self.fine]]
+        return far[self.keys[p][(self.keys[far] == self.keys[p]).argmax(axis=1)] == self.key]
+
+    def unite(self, a: int, b: int) -> None:
+        self.root[self.root == self.root[a]] = self.root[b]
 
-    ``rows`` has key (bucket), node, component, held, blocks, major (the bucket's largest component). Members lie in
-    blocks; those outside of the largest component are probes, dealt to blocks of their own, and every block of probes
-    meets every block of members. A pair that agrees ``sure`` or more unites its components within a block, so it is the
-    only one of theirs that comes out; of the others all do.
+
+def in_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Members and probes of buckets dealt to blocks; ``rows`` has key, node, component, keys, held, blocks, major.
+
+    Members lie in blocks; those outside of the largest component are probes too, dealt to blocks of their own, and every
+    block of probes meets every block of members.
     """
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     grid = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    own_side = rows.withColumn("block", block).withColumn("other", grid).withColumn("probe", F.lit(False))
+    members = rows.withColumn("block", block).withColumn("other", grid).withColumn("probe", F.lit(False))
     probes = rows.filter("component <> major").withColumn("other", block).withColumn("block", grid).withColumn("probe", F.lit(True))
-    columns = ["key", "block", "other", "node", "component", "major", "held", "probe"]
-    coarse_least, fine_least = threshold - margin(threshold, COARSE), threshold - margin(threshold, FINE)
+    return members.select("block", "other", "probe", *columns).unionByName(probes.select("block", "other", "probe", *columns))
+
+
+SKETCHED = ["key", "node", "component", "major", "keys", "held"]
+
+
+def uncertain(rows: DataFrame, threshold: float) -> DataFrame:
+    """(key, node) of the members of buckets that the longer sketch finds alike enough to another component's member."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": [], "b": [], "alike": []}).astype({"a": "int64", "b": "int64", "alike": "float64"})
-        probe = pdf["probe"].to_numpy(dtype=bool)
-        if probe.all() or not probe.any():
-            return none
-        held = np.frombuffer(b"".join(pdf["held"]), dtype=np.uint8).reshape(len(pdf), -1)
-        node, component = pdf["node"].to_numpy(), pdf["component"].to_numpy()
-        places, named = np.unique(component, return_inverse=True)
-        root = np.arange(len(places))  # the set of each component, kept flat
-        mine = np.flatnonzero(~probe)
-        owners, table, numbers, twice = named[mine], held[mine], node[mine], component[mine] != pdf["major"].iloc[0]
-        out = []
-        for p in np.flatnonzero(probe):
-            # A pair of probes meets in two cells of the grid; it counts where the greater node is the probe.
-            far = np.flatnonzero((root[owners] != root[named[p]]) & ~(twice & (numbers >= node[p])))
-            far = far[(table[far, :COARSE] == held[p, :COARSE]).mean(axis=1) >= coarse_least]
-            alike = (table[far] == held[p]).mean(axis=1)
-            near = np.flatnonzero(alike >= fine_least)
-            for k in near[np.argsort(-alike[near], kind="stable")]:
-                here, there = root[named[p]], root[owners[far[k]]]
-                if here == there:
-                    continue
-                other = numbers[far[k]]
-                out.append((max(node[p], other), min(node[p], other), alike[k]))
-                if alike[k] >= sure:
-                    root[root == max(here, there)] = min(here, there)
-        return pd.DataFrame(out, columns=["a", "b", "alike"]) if out else none
-
-    return own_side.select(*columns).unionByName(probes.select(*columns)).groupBy("key", "block", "other").applyInPandas(compare, "a bigint, b bigint, alike double")
-
-
-def further_links(members: DataFrame, links: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
+        m = Members(pdf, threshold)
+        found = np.zeros(len(pdf), dtype=bool)
+        for p in np.flatnonzero(m.probe):
+            near = m.near(p)
+            found[near] = True
+            found[p] = len(near) > 0
+        return pd.DataFrame({"key": pdf["key"][found], "node": pdf["node"][found]})
+
+    return in_blocks(rows, SKETCHED).groupBy("key", "block", "other").applyInPandas(compare, "key bigint, node bigint").distinct()
+
+
+def links_within(rows: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different components of a bucket, verified on whole texts: a spanning forest for each block."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        own("minhash")
+        m, texts, out = Members(pdf, threshold), pdf["text"].tolist(), []
+        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def of(k: int) -> tuple[np.ndarray, np.ndarray]:
+            if k not in sets:
+                sets[k] = shingles(texts[k])
+            return sets[k]
+
+        for p in np.flatnonzero(m.probe):
+            for k in m.near(p):
+                if m.root[p] != m.root[k] and probability_jaccard(of(p), of(k)) >= threshold:
+                    out.append((m.node[p], m.node[k]))
+                    m.unite(p, k)
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return in_blocks(rows, [*SKETCHED, "text"]).groupBy("key", "block", "other").applyInPandas(compare, "a bigint, b bigint")
+
+
+def further_links(members: DataFrame, links: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between different components of one bucket, of which ``members`` (key, node) leaves out the pivot."""
-    components = stored(connected_components(links).toDF("member", "component"))
-    apart = members.join(components, F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    apart = stored(apart)
+    components = connected_components(links).toDF("member", "component")
+    apart = stored(members.join(components, F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("component", "node").alias("component")))
     counts = apart.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
     mixed = stored(mixed.select(F.col("key").alias("k"), F.col("largest.component").alias("major"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks")))
     placed = apart.join(mixed, F.col("key") == F.col("k")).drop("k")
-    drawn = stored(fine_sketch(texts_of(placed.select("node").distinct(), nodes, texts)))
-    rows = placed.join(drawn.withColumnRenamed("node", "d"), F.col("node") == F.col("d")).drop("d")
-    found = stored(candidates(rows, threshold, threshold + margin(threshold, FINE)).groupBy("a", "b").agg(F.max("alike").alias("alike")))
-    more = None
-    for certain in (True, False):
-        left = joined_apart(found, components)
-        if left.isEmpty():
-            break
-        if certain:  # the likeliest pair of each two components
-            left = left.groupBy(F.least("ca", "cb").alias("c"), F.greatest("ca", "cb").alias("d")).agg(F.max_by(F.struct("a", "b", "alike"), F.struct("alike", "a", "b")).alias("best")).select("best.*")
-        left = stored(left.select("a", "b", "alike"))
-        checked = stored(verified(left, nodes, texts, threshold))
-        failed = left.filter(F.col("alike") >= threshold + margin(threshold, FINE)).join(checked.toDF("x", "y"), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
-        if certain and not failed.isEmpty():
-            # A pair that was sure isn't a link, so what it stood for comes out as pairs too.
-            found = stored(candidates(rows, threshold, 2.0).groupBy("a", "b").agg(F.max("alike").alias("alike")))
-        more = checked if more is None else more.unionByName(checked)
-        components = stored(connected_components(links.unionByName(more)).toDF("member", "component"))
-        discard(left)
-    discard(apart, mixed, drawn, found)
-    return more
-
-
-def joined_apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components, with these as ca and cb."""
-    a, b = components.toDF("ma", "ca"), components.toDF("mb", "cb")
-    both = pairs.join(a, F.col("a") == F.col("ma"), "left").join(b, F.col("b") == F.col("mb"), "left")
-    return both.select("a", "b", "alike", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca <> cb")
+    drawn = stored(fine_sketch(texts_of(placed.select("node").distinct(), nodes, texts)).withColumnRenamed("node", "d"))
+    rows = placed.join(drawn, F.col("node") == F.col("d")).drop("d")
+    hot = stored(uncertain(rows, threshold).toDF("hk", "hn"))
+    rows = rows.join(hot, (F.col("key") == F.col("hk")) & (F.col("node") == F.col("hn")), "left_semi")
+    weight = rows.groupBy("key").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks")).withColumnRenamed("key", "w")
+    held = texts_of(hot.select(F.col("hn").alias("node")).distinct(), nodes, texts).withColumnRenamed("node", "t")
+    rows = rows.drop("blocks").join(weight, F.col("key") == F.col("w")).join(held, F.col("node") == F.col("t"))
+    found = stored(links_within(rows, threshold))
+    discard(apart, mixed, drawn, hot)
+    return found
 
 
 def marked(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
@@ -323,7 +344,7 @@ def marked(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     links = stored(verified(pairs, nodes, texts, threshold))
     more = further_links(members.filter("n > 2").select("key", "node"), links, nodes, texts, threshold)
     discard(members, pairs)
-    components = connected_components(links if more is None else links.unionByName(more)).toDF("member", "component")
+    components = connected_components(links.unionByName(more)).toDF("member", "component")
     grouped = stored(nodes.join(components, F.col("node") == F.col("member")).select("node", "least", "digest", "component"))
     firsts = stored(grouped.groupBy("component").agg(F.min(F.struct("least", "digest")).alias("first")).withColumnRenamed("component", "c"))
     grouped = grouped.join(firsts, F.col("component") == F.col("c")).select(F.col("node").alias("g"), "first")
