@@ -7,8 +7,13 @@ with a ``v`` that begins at ``d`` in one input alone; then it moves by ``len(u)`
 rank. The longest such chain, found in one pass over the merges in rank order, bounds how far text can act back on
 earlier tokens: a token that ends at least that many bytes before the end of what has been read is final.
 
-**Encoding** cuts a text at the places of the byte-level pre-tokenizer (no token spans one) and sends each word through
-the transducer, which holds no more than one window of bytes. Words are looked up in a bounded memo first.
+**Encoding** reads a text in chunks. Where one class of characters ends and another begins no token of the byte-level
+pre-tokenizer spans the place (but for white space and apostrophes before letters), so words come out as soon as they
+can't change, and a word of any length comes out in pieces. Each word goes through the transducer, which holds no more
+than one window of bytes; what it emits for short words is kept in a bounded memo. Ids go on to the consumer chunk by
+chunk, so besides the text itself nothing grows with its length.
+
+**Decoding** feeds the bytes of ids to an incremental decoder, whose state is the bytes of an unfinished character.
 """
 
 from __future__ import annotations
@@ -36,6 +41,11 @@ MASK = (1 << SHIFT) - 1
 NEVER = 1 << 62
 MEMO = 400_000
 MEMO_WORD = 64
+#: Characters of a text that are encoded at a time, and of a run of one class that is held before it comes out in pieces.
+CHUNK, RUN = 1 << 15, 1 << 10
+SPACE, LETTER, DIGIT, OTHER = r"\p{White_Space}", r"\p{L}", r"\p{N}", r"[^\p{White_Space}\p{L}\p{N}]"
+#: Places that no token spans, searched from the end.
+CUT = rf"(?r)(?:{LETTER}(?!{LETTER})|{DIGIT}(?!{DIGIT})|{OTHER}(?={DIGIT}|{SPACE}))(?=.)"
 
 
 def byte_letters() -> dict[str, int]:
@@ -83,8 +93,9 @@ class Codec:
             self.bytes_of[i] = content.encode()
         self.lookahead = lookahead(merges)
         self.window = 2 * self.lookahead + 384
-        self.words = regex.compile(WORDS)
-        self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.words, self.cut = regex.compile(WORDS), regex.compile(CUT, regex.DOTALL)
+        self.runs = {c: regex.compile(f"{c}*") for c in (SPACE, LETTER, DIGIT, OTHER)}
+        self.splitter = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.memo: dict[str, bytes] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
@@ -148,56 +159,126 @@ class Codec:
 
     def _word(self, word: str) -> bytes:
         raw = word.encode()
-        ids = self.merge([self.byte_ids[b] for b in raw]) if len(raw) < self.window else self.transduce(raw[i : i + 4096] for i in range(0, len(raw), 4096))
-        found = array("I", ids).tobytes()
+        found = array("I", self.transduce((raw,))).tobytes()
         if len(word) <= MEMO_WORD:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[word] = found
         return found
 
-    def encode_packed(self, text: str) -> bytes:
-        """The ids of a whole text as native 32-bit integers."""
-        out: list[bytes] = []
+    def segments(self, chunks: Iterable[str]) -> Iterator[tuple[str, str | None]]:
+        """The text between special tokens in pieces, and with the last piece before each the token that follows."""
+        if not self.splitter:
+            yield from ((c, None) for c in chunks)
+            return
+        held, longest = "", max(map(len, self.special))
+        for chunk in chunks:
+            held += chunk
+            while m := self.splitter.search(held):
+                yield held[: m.start()], m.group()
+                held = held[m.end() :]
+            keep = next((n for n in range(min(longest - 1, len(held)), 0, -1) if any(s.startswith(held[-n:]) for s in self.special)), 0)
+            if len(held) > keep:
+                yield held[: len(held) - keep], None
+                held = held[len(held) - keep :]
+        yield held, None
+
+    def pieces(self, chunks: Iterable[str]) -> Iterator[list[str] | tuple[str, bool]]:
+        """Words of a text without special tokens as it arrives: lists of whole words, and pieces of long ones with whether the word ends."""
+        held, inside = "", None
+        for chunk in chunks:
+            held += chunk
+            if inside:
+                n = self.runs[inside].match(held).end()
+                if n == len(held):  # of white space the last stands back: it may begin the next word
+                    n -= inside == SPACE
+                    yield held[:n], False
+                    held = held[n:]
+                    continue
+                n -= inside == SPACE
+                yield held[:n], True
+                held, inside = held[n:], None
+            if m := self.cut.search(held):
+                yield self.words.findall(held[: m.end()])
+                held = held[m.end() :]
+            if len(held) > RUN:
+                *whole, last = self.words.findall(held)
+                if len(last) <= 16:  # an apostrophe near the end may still become one word with what follows
+                    while whole and len(last) < 3:
+                        last = whole.pop() + last
+                    yield whole
+                    held = last
+                    continue
+                inside = next(c for c, run in self.runs.items() if run.fullmatch(last[-1]))
+                n = len(last) - (inside == SPACE)
+                yield whole
+                yield last[:n], False
+                held = last[n:]
+        if inside:
+            n = self.runs[inside].match(held).end() if held else 0
+            yield held[:n], True
+            held = held[n:]
+        yield self.words.findall(held)
+
+    def encode_stream(self, chunks: Iterable[str]) -> Iterator[bytes]:
+        """The ids of a text that arrives in chunks, as packed native 32-bit integers; holds a chunk and a window."""
         known, word = self.memo.get, self._word
-        for k, part in enumerate(self.splitter.split(text) if self.splitter and "<|" in text else [text]):
-            if k % 2:
-                out.append(array("I", [self.special[part]]).tobytes())
-            else:
-                out += [known(w) or word(w) for w in self.words.findall(part)]
-        return b"".join(out)
+        parts, special = self.segments(chunks), ""
+
+        def until_special() -> Iterator[str]:
+            nonlocal special
+            special = ""
+            for text, token in parts:
+                yield text
+                if token is not None:
+                    special = token
+                    return
+
+        while True:
+            found = self.pieces(until_special())
+            for item in found:
+                if isinstance(item, list):
+                    yield b"".join([known(w) or word(w) for w in item])
+                    continue
+
+                def long(first=item) -> Iterator[bytes]:
+                    yield first[0].encode()
+                    ended = first[1]
+                    while not ended:
+                        more, ended = next(found)
+                        yield more.encode()
+
+                out = array("I")
+                for i in self.transduce(long()):
+                    out.append(i)
+                    if len(out) == CHUNK:
+                        yield out.tobytes()
+                        out = array("I")
+                yield out.tobytes()
+            if not special:
+                return
+            yield array("I", [self.special[special]]).tobytes()
 
     def encode(self, text: str) -> list[int]:
-        return array("I", self.encode_packed(text)).tolist()
+        out = array("I")
+        for packed in self.encode_stream(in_chunks(text)):
+            out.frombytes(packed)
+        return out.tolist()
+
+    def decode_stream(self, parts: Iterable[Iterable[int]]) -> Iterator[str]:
+        """Text of parts of ids as it becomes certain: bytes of an unfinished character are the only state."""
+        state, table, n = codecs.getincrementaldecoder("utf-8")("replace"), self.bytes_of, len(self.bytes_of)
+        for part in parts:
+            yield state.decode(b"".join([table[i] if 0 <= i < n else b"" for i in part]))
+        yield state.decode(b"", final=True)
 
-    def encode_stream(self, chunks: Iterable[str]) -> Iterator[int]:
-        """As encode, for a text that arrives in chunks.
+    def decode(self, ids: Iterable[int]) -> str:
+        ids = list(ids)
+        return "".join(self.decode_stream(ids[i : i + CHUNK] for i in range(0, len(ids), CHUNK)))
 
-        No word and no special token holds white space after other characters, so what lies before the last such
-        change is final. It holds one run of text without such a change, and a chunk.
-        """
-        held = ""
-        turn = regex.compile(r"(?r)\P{White_Space}(?=\p{White_Space})")
-        for chunk in chunks:
-            held += chunk
-            if found := turn.search(held):
-                yield from self.encode(held[: found.end()])
-                held = held[found.end() :]
-        yield from self.encode(held)
-
-    def decode_stream(self, ids: Iterable[int], step: int = 4096) -> Iterator[str]:
-        """Text of ids as it becomes certain: bytes of an unfinished character are the only state."""
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        part: list[bytes] = []
-        for i in ids:
-            part.append(self.bytes_of[i] if 0 <= i < len(self.bytes_of) else b"")
-            if len(part) == step:
-                yield state.decode(b"".join(part))
-                part = []
-        yield state.decode(b"".join(part), final=True)
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.decode_stream(ids))
+def in_chunks(text: str) -> Iterator[str]:
+    return (text[i : i + CHUNK] for i in range(0, len(text), CHUNK))
 
 
 @lru_cache(maxsize=4)
@@ -219,12 +300,18 @@ def digest(path: str) -> Callable[[str], tuple]:
     def row(text: str) -> tuple:
         c = codec(path)
         c.memo = own(("bpe", path))
-        packed = c.encode_packed(text)
-        ids = array("I", packed)
-        decoded = hashlib.sha256()
-        for part in c.decode_stream(ids):
+        hashed, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
+
+        def ids() -> Iterator[array]:
+            nonlocal n
+            for packed in c.encode_stream(in_chunks(text)):
+                hashed.update(little_endian(packed))
+                n += len(packed) // 4
+                yield array("I", packed)
+
+        for part in c.decode_stream(ids()):
             decoded.update(part.encode())
-        return len(ids), hashlib.sha256(little_endian(packed)).hexdigest(), decoded.hexdigest()
+        return n, hashed.hexdigest(), decoded.hexdigest()
 
     return row
 
