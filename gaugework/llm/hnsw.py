@@ -1,10 +1,14 @@
 """Embedding near-duplicates with hierarchical navigable small-world graphs, one per shard.
 
 Only vectors of one label are compared, so shards lie within labels. Equal vectors are one node with a weight. Every
-distinct vector queries every shard of its label; the beam of a query widens while its worst result still lies near the
+distinct vector goes as a query to every shard of its label; the queries of a label are dealt to blocks as large as
+shards, so a shard's graph travels once for as many queries as it has vectors, and a label that holds a third of all
+vectors is spread over its shards times its blocks. The beam of a query widens while its worst result still lies near the
 threshold, and a block of queries runs again with twice the beam while an audit against brute force over a sample of the
-block finds less than the wanted recall. Links are verified by cosine in double precision. A task returns, for each
-query, how many vectors it links with and a spanning forest of the links, never all pairs; components unite them.
+block finds less than the wanted recall. An audit that meets too few links to measure anything takes a larger sample, and
+a block whose audit fails with the widest beam is computed by brute force. Links are verified by cosine in double
+precision. A task returns, for each query, how many vectors it links with and a spanning forest of the links, never all
+pairs; components unite them.
 """
 
 from __future__ import annotations
@@ -24,10 +28,13 @@ from gaugework.llm.common import cut
 from gaugework.llm.graph import connected_components
 
 THRESHOLD = 0.93
-#: Distinct vectors in a shard at most (on average; vectors are dealt by hash), and in a block of queries.
-SHARD, BLOCK = 8192, 1024
+#: Distinct vectors in a shard, and in a block of queries (on average; vectors are dealt by hash).
+SHARD = 8192
 M, EF_BUILD, EF_SEARCH = 12, 48, 48
-AUDITED, WANTED_RECALL = 48, 0.999
+#: Queries of a block that an audit takes at first, links that it must meet to measure anything, and the recall it wants.
+AUDITED, AUDITED_LINKS, WANTED_RECALL = 48, 32, 0.999
+#: Queries whose products with a shard brute force holds at a time.
+PRODUCTS = 512
 #: How far below the threshold the worst result must lie before a beam stops widening.
 MARGIN = 0.02
 
@@ -182,17 +189,29 @@ def search(g: Graph, q: np.ndarray, ef: int, threshold: float) -> list[int]:
         start = [i for _, i in found[:8]]
 
 
+def by_force(g: Graph, queries: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """The links of queries from all products, a few queries at a time."""
+    found: list[np.ndarray] = []
+    for at in range(0, len(queries), PRODUCTS):
+        found += [np.flatnonzero(row >= threshold) for row in queries[at : at + PRODUCTS] @ g.vectors.T]
+    return found
+
+
 def block_links(g: Graph, queries: np.ndarray, threshold: float, seed: int = 0) -> list[list[int]]:
-    """The links of a block of queries; the beam doubles until the audit passes."""
-    rng = np.random.default_rng(seed)
-    audited = rng.choice(len(queries), size=min(AUDITED, len(queries)), replace=False)
-    truth = [np.flatnonzero(g.vectors @ queries[k] >= threshold) for k in audited]
+    """The links of a block of queries; the beam doubles until the audit passes, and past the widest beam brute force answers."""
+    order, audited, truth = np.random.default_rng(seed).permutation(len(queries)), 0, []
+    while audited < len(queries) and (not audited or sum(map(len, truth)) < AUDITED_LINKS):
+        more = order[audited : max(AUDITED, 2 * audited)]
+        truth += by_force(g, queries[more], threshold)
+        audited += len(more)
     wanted = sum(map(len, truth))
     ef = EF_SEARCH
     while True:
-        audit = sum(len(np.intersect1d(search(g, queries[k], ef, threshold), t)) for k, t in zip(audited, truth, strict=True))
-        if audit >= WANTED_RECALL * wanted or ef >= len(g.vectors):
+        audit = sum(len(np.intersect1d(search(g, queries[k], ef, threshold), t)) for k, t in zip(order[:audited], truth, strict=True) if len(t))
+        if audit >= WANTED_RECALL * wanted:
             return [search(g, q, ef, threshold) for q in queries]
+        if ef >= len(g.vectors):
+            return [x.tolist() for x in by_force(g, queries, threshold)]
         ef *= 2
 
 
@@ -201,6 +220,27 @@ def unit(rows) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def nodes_of(df: DataFrame, key: str, vector: str, label: str, shard: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, nodes): rows (id, label, node) and distinct usable vectors (node, least, copies, v, label, dim, shards, shard, block)."""
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label")).distinct()
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    usable = F.col("label").isNotNull() & F.col("v").isNotNull() & (norm > 0) & (norm < float("inf")) & ~F.isnan(norm)
+    rows = cut(rows.withColumn("node", F.when(usable, F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.to_json("v")), 256))))
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("v").alias("v"), F.first("label").alias("label"))
+    nodes = nodes.withColumn("dim", F.size("v"))
+    shards = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.greatest(F.lit(1), F.ceil(F.col("n") / shard)).cast("int").alias("shards"))
+    place = lambda seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col("shards")).cast("int")
+    return rows, cut(nodes.join(shards, ["label", "dim"]).withColumn("shard", place(0)).withColumn("block", place(1)))
+
+
+CELL = ["label", "dim", "shard", "block"]
+
+
+def cells(nodes: DataFrame) -> int:
+    """Pairs of a shard and a block of queries."""
+    return int(nodes.groupBy("label", "dim").agg(F.max("shards").alias("s")).agg(F.sum(F.col("s") * F.col("s"))).first()[0] or 0)
+
+
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
     """Per vector: n_links, component_id, kept.
 
@@ -209,61 +249,53 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     with each other. A row that is repeated as a whole counts as one vector. An empty table gives no rows.
     """
     ship(df.sparkSession)
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label")).distinct()
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    usable = F.col("label").isNotNull() & F.col("v").isNotNull() & (norm > 0) & (norm < float("inf")) & ~F.isnan(norm)
-    rows = rows.withColumn("node", F.when(usable, F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.to_json("v")), 256)))
-    rows = cut(rows)
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("v").alias("v"), F.first("label").alias("label"))
-    nodes = nodes.withColumn("dim", F.size("v"))
-    groups = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("n") / shard)).cast("int"))
-    nodes = cut(
-        nodes.join(F.broadcast(groups.select("label", "dim", "shards", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"))), ["label", "dim"])
-        .withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards"))).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
-    )
+    rows, nodes = nodes_of(df, key, vector, label, shard)
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("least")
         vectors = unit(pdf["v"])
         return pd.DataFrame({
-            "label": [pdf["label"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "ids": [pdf["least"].to_numpy()], "copies": [pdf["copies"].to_numpy()],
+            "label": [pdf["label"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "shards": [pdf["shards"].iloc[0]], "ids": [pdf["least"].to_numpy()], "copies": [pdf["copies"].to_numpy()],
             "vectors": [vectors.tobytes()], "graph": [pack_graph(build(vectors))],
         })
 
     kind = rows.schema["label"].dataType.simpleString()
-    graphs = cut(nodes.select("label", "dim", "shard", "least", "copies", "v").groupBy("label", "dim", "shard").applyInPandas(make, f"label {kind}, dim int, shard bigint, ids array<bigint>, copies array<bigint>, vectors binary, graph binary"))
-    queries = nodes.groupBy("label", "dim", "block").agg(F.sort_array(F.collect_list(F.struct("least", "v"))).alias("rows")).select(F.col("label").alias("l"), F.col("dim").alias("d"), "block", F.col("rows.least").alias("qids"), F.flatten("rows.v").alias("qv"))
-    tasks = queries.join(graphs, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d"))).drop("l", "d")
-    tasks = tasks.repartition(max(64, df.sparkSession.sparkContext.defaultParallelism * 4), "label", "dim", "block", "shard")
-
-    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for r in pdf.itertuples(index=False):
-                g = unpack_graph(np.frombuffer(r.vectors).reshape(len(r.ids), -1), r.graph)
-                found = block_links(g, unit(np.asarray(r.qv).reshape(len(r.qids), -1)), threshold)
-                root: dict[int, int] = {}
-
-                def top(i: int, root=root) -> int:
-                    while root.setdefault(i, i) != i:
-                        root[i] = root[root[i]]
-                        i = root[i]
-                    return i
-
-                counts = []
-                for q, hits in zip(r.qids, found, strict=True):
-                    near = r.ids[hits]
-                    counts.append(int(r.copies[hits][near != q].sum()))
-                    a = top(int(q))
-                    for j in near.tolist():
-                        b = top(j)
-                        if a != b:
-                            a, b = min(a, b), max(a, b)
-                            root[b] = a
-                yield pd.DataFrame({"id": r.qids, "n": counts, "other": [None] * len(r.qids)}).astype({"other": "Int64"})
-                forest = [(i, b) for i in list(root) if (b := top(i)) != i]
-                yield pd.DataFrame({"id": [i for i, _ in forest], "n": [0] * len(forest), "other": [b for _, b in forest]}).astype({"id": "int64", "n": "int64", "other": "Int64"})
-
-    found = cut(tasks.select("ids", "copies", "vectors", "graph", "qids", "qv").mapInPandas(link, "id bigint, n bigint, other bigint"))
+    graphs = cut(nodes.select("label", "dim", "shard", "shards", "least", "copies", "v").groupBy("label", "dim", "shard").applyInPandas(make, f"label {kind}, dim int, shard int, shards int, ids array<bigint>, copies array<bigint>, vectors binary, graph binary"))
+    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    # As many tasks as there are cells, up to a bound: a cell is seconds of work whatever its bytes.
+    tasks = max(1, min(20_000, cells(nodes)))
+    index = graphs.withColumn("block", every).select(*CELL, "ids", "copies", "vectors", "graph").repartition(tasks, *CELL)
+    queries = nodes.select("label", "dim", every.alias("shard"), "block", "least", "v").repartition(tasks, *CELL)
+
+    def link(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(index) or not len(asked):
+            return pd.DataFrame({"id": [], "n": [], "other": []}).astype({"id": "int64", "n": "int64", "other": "Int64"})
+        r, asked = index.iloc[0], asked.sort_values("least")
+        ids, copies, qids = np.asarray(r["ids"]), np.asarray(r["copies"]), asked["least"].to_numpy()
+        g = unpack_graph(np.frombuffer(r["vectors"]).reshape(len(ids), -1), r["graph"])
+        found = block_links(g, unit(asked["v"]), threshold)
+        root: dict[int, int] = {}
+
+        def top(i: int) -> int:
+            while root.setdefault(i, i) != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        counts = []
+        for q, hits in zip(qids, found, strict=True):
+            near = ids[hits]
+            counts.append(int(copies[hits][near != q].sum()))
+            a = top(int(q))
+            for j in near.tolist():
+                b = top(j)
+                if a != b:
+                    a, b = min(a, b), max(a, b)
+                    root[b] = a
+        forest = [(i, b) for i in list(root) if (b := top(i)) != i]
+        return pd.DataFrame({"id": [*qids, *(i for i, _ in forest)], "n": [*counts, *[0] * len(forest)], "other": [*[None] * len(qids), *(b for _, b in forest)]}).astype({"id": "int64", "n": "int64", "other": "Int64"})
+
+    found = cut(index.groupBy(*CELL).cogroup(queries.groupBy(*CELL)).applyInPandas(link, "id bigint, n bigint, other bigint"))
     components = connected_components(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     per_node = nodes.select("node", "least", "copies").join(counts.withColumnRenamed("id", "counted"), F.col("least") == F.col("counted"), "left")
@@ -271,3 +303,23 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     per_node = per_node.select(F.col("node").alias("n_node"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "least").alias("component_id"))
     out = rows.select("id", "node").join(per_node, F.col("node") == F.col("n_node"), "left")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col(key) == F.col("component_id"))
+
+
+def recall(df: DataFrame, result: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, every: int = 50, shard: int = SHARD) -> DataFrame:
+    """(queries, links, found, recall) of a result of near_duplicates: the vectors whose id is divisible by ``every`` against all, by brute force."""
+    ship(df.sparkSession)
+    rows, nodes = nodes_of(df, key, vector, label, shard)
+    asked = rows.filter(F.col("node").isNotNull() & (F.col("id") % every == 0)).select("id", "node")
+    spread = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    queries = asked.join(nodes.select("node", "label", "dim", "v", "shards"), "node").select("label", "dim", spread.alias("shard"), "id", "v")
+
+    def count(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(asked):
+            return pd.DataFrame({"id": [], "n": []}).astype("int64")
+        g, copies = Graph(unit(own["v"]), [], 0), own["copies"].to_numpy()
+        return pd.DataFrame({"id": asked["id"], "n": [int(copies[hits].sum()) for hits in by_force(g, unit(asked["v"]), threshold)]}).astype("int64")
+
+    cell = ["label", "dim", "shard"]
+    truth = nodes.select(*cell, "copies", "v").groupBy(*cell).cogroup(queries.groupBy(*cell)).applyInPandas(count, "id bigint, n bigint").groupBy("id").agg((F.sum("n") - 1).alias("n"))
+    both = truth.join(result.select(F.col(key).alias("k"), "n_links"), F.col("id") == F.col("k"))
+    return both.agg(F.count("*").alias("queries"), F.sum("n").alias("links"), F.sum("n_links").alias("found")).withColumn("recall", F.col("found") / F.col("links"))

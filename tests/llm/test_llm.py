@@ -235,7 +235,31 @@ def test_the_lookahead_suffices(byte_pairs, letters):
     rng = random.Random(9)
     t = "".join(rng.choice(letters) for _ in range(6000))
     ids = library.encode(t, add_special_tokens=False).ids
-    assert own.encode(t) == ids and list(own.encode_stream(t[i : i + 7] for i in range(0, len(t), 7))) == ids
+    assert own.encode(t) == ids and streamed(own, t, 7) == ids
+
+
+def streamed(own, text, n):
+    return array("I", b"".join(own.encode_stream(text[i : i + n] for i in range(0, len(text), n)))).tolist()
+
+
+def test_streams_of_long_runs(byte_pairs):
+    """Runs of one class that are longer than what is held, words that end at chunks, and special tokens cut by chunks."""
+    own, library = byte_pairs
+    rng = random.Random(4)
+    parts = ["a" * 1500, "  " * 900, "'s", "'" * 1200, "1" * 1100, " ", "x", "'re", "中" * 1030, "\n" * 1025, "'ll", "<|endo", "ftext|>", "<|endoftext|>"]
+    for _ in range(150):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(7)))
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == ids and all(streamed(own, t, n) == ids for n in (3, 1025, 4000))
+
+
+def test_every_word_goes_through_the_transducer(byte_pairs, monkeypatch):
+    own, library = byte_pairs
+    calls, held = [], own.transduce
+    monkeypatch.setattr(own, "memo", {})
+    monkeypatch.setattr(own, "transduce", lambda chunks: (calls.append(1), held(chunks))[1])
+    t = "every word of a text, once each; and one " + "word" * 2000
+    assert own.encode(t) == library.encode(t, add_special_tokens=False).ids and len(calls) == len({*own.words.findall(t)})
 
 
 def test_decoding_any_ids(byte_pairs):
@@ -289,9 +313,18 @@ def test_embeddings_match_brute_force(spark):
     for shard in (8192, 16):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(df, shard=shard).collect()}
         assert got == {r[0]: (links[r[0]], top(r[0]), top(r[0]) == r[0]) for r in rows}
+    measured = hnsw.recall(df, hnsw.near_duplicates(df), every=5, shard=16).first()
+    assert measured.links == measured.found == sum(links[r[0]] for r in rows if r[0] % 5 == 0 and usable(*r[1:])) and measured.recall == 1
     assert hnsw.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_blocks_fall_back_to_brute_force():
+    rng = np.random.default_rng(2)
+    vectors = hnsw.unit(rng.normal(size=(400, 8)) + rng.normal(size=(8, 8))[rng.integers(0, 8, 400)] * 6)
+    lost = hnsw.Graph(vectors, [{i: [] for i in range(400)}], 0)  # no node has a neighbour, so no search gets anywhere
+    assert [list(x) for x in hnsw.block_links(lost, vectors, 0.93)] == [np.flatnonzero(vectors @ q >= 0.93).tolist() for q in vectors]
+
+
 def test_recall_of_the_graph():
     rng = np.random.default_rng(1)
     vectors = hnsw.unit(rng.normal(size=(1500, 24)) + rng.normal(size=(30, 24))[rng.integers(0, 30, 1500)] * 3)
