@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.common import held_out
+from gaugework.llm.common import carried, field, held_out, restored
 
 #: Bounds of the training sample: labelled documents of each class.
 SAMPLE_LOW, SAMPLE_HIGH = 3000, 5000
@@ -28,22 +28,23 @@ Condition = tuple[int, bool, float]  # statistic, whether it lies above the boun
 Rule = tuple[Condition, ...]
 
 
-def with_statistics(docs: DataFrame, text: str = "text", name: str = "__stats") -> DataFrame:
-    """``docs`` and a struct of the statistics of the whole text. A null text is an empty one, all of whose statistics are 0.
+def with_statistics(rows: DataFrame, text: Column, name: str = "stats") -> DataFrame:
+    """``rows`` and a struct of the statistics of the whole text. A null text is an empty one, all of whose statistics are 0.
 
-    Length and words are computed once, in a projection. The struct comes out of a generator over an array of one: a
-    filter on the score isn't pushed below a generator, where every rule would compute its statistics anew.
+    ``rows`` has no columns n, words or ``name``; tables of others come as carried rows. Length and words are computed
+    once, in a projection. The struct comes out of a generator over an array of one: a filter on the score isn't pushed
+    below a generator, where every rule would compute its statistics anew.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select("*", F.length(t).cast("double").alias("__n"), F.split(F.trim(F.translate(t, "\n\t", "  ")), " +").alias("__words"))
-    n, size = F.col("__n"), F.size("__words").cast("double")
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    base = rows.select("*", F.length(t).cast("double").alias("n"), F.split(F.trim(F.translate(t, "\n\t", "  ")), " +").alias("words"))
+    n, size = F.col("n"), F.size("words").cast("double")
     least = F.greatest(n, F.lit(1.0))
     some = F.when(n > 0, 1.0).otherwise(0.0)
     without = lambda letters: (n - F.length(F.translate(t, letters, ""))) / least
     stats = {
         "chars": n,
         "words": size * some,
-        "distinct_words": F.size(F.array_distinct("__words")) / size * some,
+        "distinct_words": F.size(F.array_distinct("words")) / size * some,
         "word_length": n / size,
         "capitals": without(CAPITALS),
         "symbols": without(SYMBOLS),
@@ -53,7 +54,7 @@ def with_statistics(docs: DataFrame, text: str = "text", name: str = "__stats")
         "stops": without(".,;:?"),
         "lines": (n - F.length(F.replace(t, F.lit("\n")))) / least,
     }
-    return base.select("*", F.explode(F.array(F.struct(*(stats[k].alias(k) for k in NAMES)))).alias(name)).drop("__n", "__words")
+    return base.select("*", F.explode(F.array(F.struct(*(stats[k].alias(k) for k in NAMES)))).alias(name)).drop("n", "words")
 
 
 NAMES = ["chars", "words", "distinct_words", "word_length", "capitals", "symbols", "shouts", "bars", "digits", "stops", "lines"]
@@ -164,19 +165,19 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, seed:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> Model:
     """Train on at most SAMPLE_LOW and SAMPLE_HIGH labelled documents that aren't held out, the first by a hash of their key.
 
-    Each class weighs as it does among all labels.
+    Each class weighs as it does among all labels. Of rows that repeat a key the one with the smallest statistics is
+    taken, so that the sample doesn't depend on the order of rows. Null keys and labels, and labels other than 0 and 1,
+    are left out.
     """
-    usable = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).filter(~held_out(F.col(key))).select(key, F.col(label).cast("int").alias("__label"))
-    counts = {r["__label"]: r["count"] for r in usable.groupBy("__label").count().collect()}
+    usable = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("key").isNotNull()).filter(~held_out(F.col("key")))
+    counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     first = None
     for value, bound in ((0, SAMPLE_LOW), (1, SAMPLE_HIGH)):
-        part = usable.filter(F.col("__label") == value).distinct().orderBy(F.xxhash64(key), key).limit(bound)
+        part = usable.filter(F.col("label") == value).distinct().orderBy(F.xxhash64("key"), "key").limit(bound)
         first = part if first is None else first.unionByName(part)
-    rows = (
-        with_statistics(docs.select(key, F.col(text).alias("__text")).join(F.broadcast(first), key), "__text")
-        .select("__label", *(F.col(f"__stats.{n}").alias(f"__{n}") for n in NAMES))
-        .limit(2 * (SAMPLE_LOW + SAMPLE_HIGH)).collect()
-    )
+    sampled = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(first), "key")
+    stats = with_statistics(sampled, F.col("text")).groupBy("key", "label").agg(F.min("stats").alias("stats"))
+    rows = stats.select("label", *(F.col("stats").getField(n) for n in NAMES)).collect()
     data = np.array(sorted(tuple(r) for r in rows), dtype=float).reshape(len(rows), 1 + len(NAMES))
     y = data[:, 0].astype(int)
     seen = np.bincount(y, minlength=2)
@@ -184,9 +185,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     return train(data[:, 1:], y, weight if len(y) else None)
 
 
-def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "__score") -> DataFrame:
-    """``docs`` and the score as column ``name``."""
-    return with_statistics(docs, text).withColumn(name, model.column([f"__stats.{n}" for n in NAMES])).drop("__stats")
+def with_score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The carried rows of ``docs`` and their score."""
+    return with_statistics(carried(docs), field(text)).select("row", model.column([f"stats.{n}" for n in NAMES]).alias("score"))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -195,10 +196,14 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     A null or empty text has statistics 0 and the score of these. Equal texts score alike, repeated rows stay; an empty
     table gives no rows. Columns other than key and text are dropped before, so their names can't clash.
     """
-    scored = with_score(docs.select(key, text), model, text)
-    return scored.select(key, F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    scored = with_score(docs.select(key, text), model, text).select(field(key).alias(key), "score")
+    return scored.select(key, F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def good(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The documents that the classifier doesn't reject, with all their columns."""
-    return with_score(docs, model, text).filter(F.col("__score") >= threshold).drop("__score")
+    """The documents that the classifier doesn't reject, with all their columns, whatever these are called.
+
+    A null or empty text has the score of statistics 0; rows are judged one by one, so repeated rows share their fate; an
+    empty table gives no rows.
+    """
+    return restored(with_score(docs, model, text).filter(F.col("score") >= threshold), docs.columns)

@@ -5,8 +5,11 @@ passage, and the line before it that names its author goes with it. Passages, th
 hashed in a normal form, as are the bodies of all messages, their paragraphs and lines. For each hash the earliest
 message that holds it is found once, by an aggregate, so a passage that a third of all messages hold costs a row each.
 A quote links to the earliest message of its own conversation that holds it, if that stands before the quoting one, or
-else to the earliest message of another conversation. The parent of a message is the latest message that its quotes of
-level 1 link to; without one it replies to the turn before it.
+else to the earliest message of another conversation. Messages stand in the order of conversation and turn, and a parent
+stands before its reply: the parent of a message is the latest message before it that its quotes of level 1 link to;
+without one it replies to the turn before it. So every message has a root, and among the messages of a root a position
+with parents first. Runs of turns that reply to the turn before share the root of their first, so roots are found by
+doubling over linked messages alone.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugework.functions.shipping import ship
-from gaugework.llm.common import stored
+from gaugework.llm.common import cut, slices, stored
+from gaugework.operators.evidence import place
 
 MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 #: Lines that announce a quote in mail of several languages.
@@ -85,7 +89,7 @@ def parsed(messages: DataFrame, conversation: str, turn: str, role: str, text: s
     quote = pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("rank", pa.int32()), ("digest", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 3)):
             found = [parse(t or "") for t in batch.column(3).to_pylist()]
             quotes = [[{"passage": i, "level": n, "rank": k, "digest": d} for i, (n, p) in enumerate(q) for k, d in enumerate(units(p))] for _, q in found]
             yield pa.RecordBatch.from_arrays(
@@ -98,28 +102,55 @@ def parsed(messages: DataFrame, conversation: str, turn: str, role: str, text: s
     return rows.mapInArrow(run, "conv bigint, turn bigint, role string, body string, units array<string>, n_quotes bigint, quote_depth bigint, quotes array<struct<passage:int,level:int,rank:int,digest:string>>")
 
 
-def before(turns: DataFrame) -> DataFrame:
-    """(vc, vt, previous): the turn before each of the distinct turns of a conversation; null for the first.
+def threads(turns: DataFrame) -> DataFrame:
+    """(vc, vt, linked, reply_conv, reply_turn, root_conv, root_turn, position) of distinct messages (conv, turn, rc, rt).
 
-    Turns are dealt by ranges of conversation and turn, so a conversation that holds a third of all messages is spread
-    over many tasks; the last turn of a range comes before the first of the next, a row for each range.
+    (rc, rt) is the linked parent, which stands before its message, or null. Messages are dealt by ranges of conversation
+    and turn, so a conversation that holds a third of them is spread over many tasks; what one range hands on to the next
+    is a row for each range.
     """
     ranged = stored(turns.repartitionByRange("conv", "turn").sortWithinPartitions("conv", "turn").withColumn("range", F.spark_partition_id()))
-    here = F.struct("conv", "turn")
+    here, order = F.struct("conv", "turn"), Window.partitionBy("range").orderBy("conv", "turn")
     last = ranged.groupBy("range").agg(F.max(here).alias("last"))
     last = last.select(F.col("range").alias("r"), F.lag("last").over(Window.orderBy("range")).alias("carried"))
-    placed = ranged.withColumn("lagged", F.lag(here).over(Window.partitionBy("range").orderBy("conv", "turn"))).join(F.broadcast(last), F.col("range") == F.col("r"))
+    placed = ranged.withColumn("lagged", F.lag(here).over(order)).join(F.broadcast(last), F.col("range") == F.col("r"))
     near = F.coalesce("lagged", "carried")
-    return placed.select(F.col("conv").alias("vc"), F.col("turn").alias("vt"), F.when(near["conv"] == F.col("conv"), near["turn"]).alias("previous"))
+    placed = placed.withColumn("previous", F.when(near["conv"] == F.col("conv"), near["turn"])).select("conv", "turn", "rc", "rt", "previous", "range")
+    # A head is linked or the first of its conversation; the turns after it, up to the next head, hang on it.
+    head = F.when(F.col("rt").isNotNull() | F.col("previous").isNull(), here)
+    flagged = stored(placed.withColumn("head", head))
+    upto = flagged.groupBy("range").agg(F.max("head").alias("last"))
+    upto = upto.select(F.col("range").alias("r"), F.max("last").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    headed = flagged.withColumn("own", F.max("head").over(order)).join(F.broadcast(upto), F.col("range") == F.col("r"))
+    headed = stored(headed.select("conv", "turn", "rc", "rt", "previous", F.coalesce("own", "carried").alias("head")))
+    parents = headed.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("head").alias("up"))
+    linked = headed.filter("rt is not null").select("conv", "turn", "rc", "rt")
+    jumps = cut(linked.join(parents, (F.col("rc") == F.col("c")) & (F.col("rt") == F.col("t"))).select(F.struct("conv", "turn").alias("node"), "up"))
+    while True:
+        further = jumps.toDF("at", "beyond")
+        stepped = cut(jumps.join(further, F.col("up") == F.col("at"), "left").select("node", F.coalesce("beyond", "up").alias("up"), F.col("beyond").isNotNull().alias("moved")))
+        jumps, moving = stepped.select("node", "up"), not stepped.filter("moved").isEmpty()
+        if not moving:
+            break
+    rooted = headed.join(jumps, F.col("head") == F.col("node"), "left").select("conv", "turn", "rc", "rt", "previous", F.coalesce("up", "head").alias("root"))
+    numbered = place(rooted, ["root", "conv", "turn"])
+    firsts = stored(numbered.groupBy("root").agg(F.min("place").alias("first")).withColumnRenamed("root", "of"))
+    numbered = numbered.join(firsts, F.col("root") == F.col("of"))
+    known = F.col("rt").isNotNull()
+    return numbered.select(
+        F.col("conv").alias("vc"), F.col("turn").alias("vt"), known.alias("linked"), F.when(known, F.col("rc")).when(F.col("previous").isNotNull(), F.col("conv")).alias("reply_conv"),
+        F.coalesce("rt", "previous").alias("reply_turn"), F.col("root.conv").alias("root_conv"), F.col("root.turn").alias("root_turn"), (F.col("place") - F.col("first")).alias("position"),
+    )
 
 
 def conversations(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Per message: conversation, turn, role, text without quotes, n_quotes, quote_depth, n_linked, reply_conv, reply_turn, linked.
+    """Per message: conversation, turn, role, text without quotes, n_quotes, quote_depth, n_linked, reply_conv, reply_turn, linked, root_conv, root_turn, position.
 
-    In reply order when sorted by conversation and turn, since a parent always stands before its reply. ``linked`` says
-    whether a quote, not the order of turns, gave the parent. A null text is an empty one; a null conversation or turn
-    has no parent and is no one's parent; rows that repeat a conversation and turn are messages of their own with the
-    same links; an empty table gives no rows.
+    Sorted by root and position a thread stands in reply order, parents first. ``linked`` says whether a quote, not the
+    order of turns, gave the parent; n_linked counts all passages whose source is known, also where that stands later,
+    in another conversation, and so can't be the parent. A null text is an empty one; a null conversation or turn has no
+    parent, no root and is no one's parent; rows that repeat a conversation and turn are messages of their own with the
+    same links and position; an empty table gives no rows. Further columns are left out before anything is added.
     """
     rows = stored(parsed(messages, conversation, turn, role, text))
     quoting = rows.filter("n_quotes > 0 and conv is not null and turn is not null")
@@ -140,12 +171,15 @@ def conversations(messages: DataFrame, conversation: str = "conv_id", turn: str
     found = found.select("conv", "turn", "passage", "level", "rank", short.alias("short"), F.when(F.col("first_turn").isNotNull(), F.struct(F.lit(1).alias("same"), F.col("conv").alias("c"), F.col("first_turn").alias("t"))).when(other.isNotNull(), F.struct(F.lit(0).alias("same"), other["own_conv"].alias("c"), other["first_turn"].alias("t"))).alias("source"))
     # The longest unit of a passage that is found anywhere says where the passage comes from; short units speak last.
     passages = found.filter("source is not null").groupBy("conv", "turn", "passage", "level").agg(F.max_by("source", F.struct(~F.col("short"), F.col("source.same"), -F.col("rank"))).alias("source"))
-    per = passages.groupBy("conv", "turn").agg(F.count("*").alias("n_linked"), F.max(F.struct((-F.col("level")).alias("level"), F.col("source"))).alias("nearest"))
+    earlier = F.when((F.col("source.c") < F.col("conv")) | ((F.col("source.c") == F.col("conv")) & (F.col("source.t") < F.col("turn"))), F.struct((-F.col("level")).alias("level"), F.col("source")))
+    per = passages.groupBy("conv", "turn").agg(F.count("*").alias("n_linked"), F.max(earlier).alias("nearest"))
     per = per.select(F.col("conv").alias("pc"), F.col("turn").alias("pt"), "n_linked", F.col("nearest.source.c").alias("rc"), F.col("nearest.source.t").alias("rt"))
-    turns = before(rows.filter("conv is not null and turn is not null").select("conv", "turn").distinct())
-    out = rows.join(per, (F.col("conv") == F.col("pc")) & (F.col("turn") == F.col("pt")), "left").join(turns, (F.col("conv") == F.col("vc")) & (F.col("turn") == F.col("vt")), "left")
-    linked = F.col("rt").isNotNull()
+    turns = rows.filter("conv is not null and turn is not null").select("conv", "turn").distinct().join(per, (F.col("conv") == F.col("pc")) & (F.col("turn") == F.col("pt")), "left")
+    turns = stored(turns.select("conv", "turn", "rc", "rt", "n_linked"))
+    found = threads(turns.select("conv", "turn", "rc", "rt"))
+    counts = turns.filter("n_linked is not null").select(F.col("conv").alias("pc"), F.col("turn").alias("pt"), "n_linked")
+    out = rows.join(found, (F.col("conv") == F.col("vc")) & (F.col("turn") == F.col("vt")), "left").join(counts, (F.col("conv") == F.col("pc")) & (F.col("turn") == F.col("pt")), "left")
     return out.select(
         F.col("conv").alias(conversation), F.col("turn").alias(turn), F.col("role").alias(role), F.col("body").alias(text), "n_quotes", "quote_depth", F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
-        F.when(linked, F.col("rc")).when(F.col("previous").isNotNull(), F.col("conv")).alias("reply_conv"), F.when(linked, F.col("rt")).otherwise(F.col("previous")).alias("reply_turn"), linked.alias("linked"),
+        "reply_conv", "reply_turn", F.coalesce("linked", F.lit(False)).alias("linked"), "root_conv", "root_turn", "position",
     )

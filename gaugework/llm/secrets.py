@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and character Markov models that tell random strings from ordinary identifiers.
 
 Two order-1 character models are trained on labelled samples: random strings (key-like strings of several alphabets,
-drawn from a seeded generator) and ordinary identifiers (names composed of programming words in the usual styles, and
-words that the corpus itself holds). A candidate token is a secret if its mean log-likelihood ratio passes a threshold
-set on the samples. The pattern spans stand whatever the models say.
+drawn from a seeded generator) and ordinary identifiers (names composed in the usual styles of programming words and of
+words that the corpus itself holds, drawn by a hash). A candidate token is a secret if its mean log-likelihood ratio
+passes a threshold set on the samples; tokens without a digit, which ordinary text is full of, have a threshold of their
+own that none of the ordinary sample passes. The pattern spans stand whatever the models say.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-#: Bound of the sample of documents whose words train the model of ordinary identifiers.
-SAMPLE_DOCUMENTS = 400
+#: Bounds of the sample of documents, and of their distinct words, that train the model of ordinary identifiers.
+SAMPLE_DOCUMENTS, SAMPLE_WORDS = 400, 20_000
 SAMPLES = 6000
 
 WORDS = """get set user name account config value index count total list item file path read write open close server
@@ -45,10 +46,11 @@ abstract interface implementation default option parameter argument result statu
 
 @dataclass
 class Markov:
-    """Log-likelihood ratio of random over ordinary for each pair of characters, and the threshold of its mean."""
+    """Log-likelihood ratio of random over ordinary for each pair of characters, and the thresholds of its mean for tokens with and without digits."""
 
     ratios: dict[str, float]
     threshold: float
+    plain: float = 1.0
 
     def score(self, token: str) -> float:
         """Mean log-likelihood ratio; below two characters there is nothing to compare."""
@@ -58,7 +60,9 @@ class Markov:
         return sum(get(token[i : i + 2], 0.0) for i in range(len(token) - 1)) / (len(token) - 1)
 
     def is_random(self, token: str) -> bool:
-        return any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and self.score(token) > self.threshold
+        if not any(c.isalpha() for c in token):
+            return False  # numbers, rules and dates
+        return self.score(token) > (self.threshold if any(c.isdigit() for c in token) else self.plain)
 
 
 def random_strings(rng: random.Random, n: int) -> list[str]:
@@ -77,7 +81,10 @@ def identifiers(rng: random.Random, n: int, words: list[str]) -> list[str]:
 
 
 def train(positive: list[str], negative: list[str], keep: float = 0.995) -> Markov:
-    """Fit both models with add-half smoothing; the threshold lets at most 1 - ``keep`` of the ordinary sample pass."""
+    """Fit both models with add-half smoothing.
+
+    The threshold lets at most 1 - ``keep`` of the ordinary sample pass; that of tokens without digits none, with a margin.
+    """
 
     def logs(sample: list[str]) -> dict[str, float]:
         pairs: dict[str, float] = {}
@@ -92,14 +99,16 @@ def train(positive: list[str], negative: list[str], keep: float = 0.995) -> Mark
     model = Markov({k: random_logs[k] - ordinary[k] for k in random_logs}, 0.0)
     scores = sorted(model.score(t) for t in negative if len(t) > 1)
     model.threshold = max(0.35, scores[min(len(scores) - 1, int(keep * len(scores)))] if scores else 0.0)
+    letters = [model.score(t) for t in negative if len(t) >= 12 and not any(c.isdigit() for c in t)]
+    model.plain = max(model.threshold, max(letters, default=0.0) + 0.1)
     return model
 
 
-def corpus_words(docs: DataFrame, key: str, text: str, bound: int = SAMPLE_DOCUMENTS) -> list[str]:
-    """Words of letters of at most ``bound`` documents, the first by a hash of their key."""
-    ids = [r[0] for r in docs.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(bound).collect()]
-    rows = docs.filter(F.col(key).isin(ids)).select(F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(\\b[A-Za-z]{2,24}\\b)")))), 1, 200).alias("w")).limit(bound).collect()
-    return sorted({w for r in rows for w in r.w})
+def corpus_words(docs: DataFrame, key: str, text: str, documents: int = SAMPLE_DOCUMENTS, words: int = SAMPLE_WORDS) -> list[str]:
+    """Distinct words of letters of at most ``documents`` documents, both the first by a hash, of the key and of the word."""
+    ids = [r[0] for r in docs.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(documents).collect()]
+    found = docs.filter(F.col(key).isin(ids)).select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("(\\b[A-Za-z]{2,40}\\b)")))).alias("word"))
+    return sorted(r[0] for r in found.distinct().orderBy(F.xxhash64("word"), "word").limit(words).collect())
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Markov:
@@ -118,8 +127,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def random_spans(text: str, model: Markov, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Tokens that the models call random and that no pattern span overlaps."""
-    return [(m.start(), m.end(), "random") for m in CANDIDATE.finditer(text) if model.is_random(m.group()) and not any(s < m.end() and m.start() < e for s, e, _ in base)]
+    """Tokens that the models call random and that don't lie within a pattern span. Both lists rise, so one pass compares them."""
+    out, at, covered = [], 0, -1
+    for m in CANDIDATE.finditer(text):
+        while at < len(base) and base[at][0] <= m.start():
+            covered = max(covered, base[at][1])
+            at += 1
+        if m.end() > covered and model.is_random(m.group()):
+            out.append((m.start(), m.end(), "random"))
+    return out
 
 
 def spans(text: str, model: Markov) -> list[tuple[int, int, str]]:
@@ -128,7 +144,7 @@ def spans(text: str, model: Markov) -> list[tuple[int, int, str]]:
 
 
 def redact(text: str, model: Markov) -> str:
-    """The text with every secret replaced; of a pattern with a name, the name stays."""
+    """The text with the union of all spans replaced; of a pattern with a name, the name stays."""
     holes: list[tuple[int, int, str]] = []
     for s, e, kind in spans(text, model):
         if kind == "assign":
@@ -183,4 +199,4 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Ma
 
 
 def dump(model: Markov) -> str:
-    return json.dumps({"threshold": model.threshold, "ratios": model.ratios})
+    return json.dumps({"threshold": model.threshold, "plain": model.plain, "ratios": model.ratios})

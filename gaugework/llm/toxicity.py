@@ -24,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.shipping import ship
+from gaugework.llm import minhash
 from gaugework.llm.common import held_out, map_rows
 from gaugework.llm.memo import own
 
 #: Bounds of the training sample: labelled documents by class, and the longest text taken into it.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1500, 3000, 40_000
 ORDINARY_CHARS, TOXIC_CHARS = 12_000, 2_000
+#: Toxic texts that must hold a string, however many there are.
+LEAST_TEXTS = 3
 #: Strings less typical than this share of the most typical one stay out of the toxic dictionary.
 LEAST_SHARE = 0.1
 #: Nor do strings whose log-odds of occurring in a toxic text against an ordinary one are lower.
@@ -125,7 +128,7 @@ def typical(toxic: list[str], ordinary: list[str], size: int = TOXIC_CHARS) -> s
     """Beginnings of words that are typical of toxic texts, the most typical last."""
     a, b = substrings(toxic), substrings(ordinary)
     na, nb = max(1, len(toxic)), max(1, len(ordinary))
-    odds = {w: math.log((n + 0.5) / (na + 1)) - math.log((b[w] + 0.5) / (nb + 1)) for w, n in a.items() if n >= max(3, na // 40)}
+    odds = {w: math.log((n + 0.5) / (na + 1)) - math.log((b[w] + 0.5) / (nb + 1)) for w, n in a.items() if n >= LEAST_TEXTS}
     weight = {w: o * math.sqrt(a[w]) for w, o in odds.items() if o > LEAST_ODDS}
     ranked = sorted(weight, key=lambda w: (-weight[w], w))
     kept: list[str] = []
@@ -186,12 +189,25 @@ def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
     return w.tolist()
 
 
+def distinct(texts: list[str]) -> list[str]:
+    """The texts that share no bucket of MinHash registers with one before them."""
+    seen: set[int] = set()
+    out = []
+    for t in texts:
+        words, counts = minhash.shingles(t)
+        keys = set(minhash.band_keys(minhash.signatures([(words, counts)]))[0].tolist()) if len(words) else {0}
+        if seen.isdisjoint(keys):
+            out.append(t)
+        seen |= keys
+    return out
+
+
 def train(toxic: list[str], ordinary: list[str]) -> Model:
     """Dictionaries from all texts; the curve from each half's texts under dictionaries of the other half.
 
-    Of training texts that begin alike one is taken, as copies would make their rare words look typical.
+    Of equal texts, and of toxic texts that are near-duplicates, one is taken, as copies would make their rare words look typical.
     """
-    toxic, ordinary = (list({t[:80]: t for t in reversed(part)}.values()) for part in (toxic, ordinary))
+    toxic, ordinary = distinct(list(dict.fromkeys(toxic))), list(dict.fromkeys(ordinary))
     check: list[tuple[list[float], int]] = []
     for k in (0, 1):
         half = dictionaries(toxic[k::2], ordinary[k::2])
@@ -205,13 +221,13 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, label: str, value: int, bound: int, key: str = "doc_id", text: str = "text") -> list[str]:
     """Texts of at most ``bound`` documents labelled ``value`` that aren't held out, the first by a hash of their key.
 
-    Labels are narrow, so their first keys are found before any text is read.
+    Labels are narrow, so their first keys are found before any text is read. Of rows that repeat a key the smallest text
+    is taken, so the sample doesn't depend on the order of rows; null keys and texts over SAMPLE_CHARS are left out.
     """
-    first = (
-        labels.filter(F.col(label) == value).filter(F.col(key).isNotNull() & ~held_out(F.col(key)))
-        .select(key).distinct().orderBy(F.xxhash64(key), key).limit(bound)
-    )
-    rows = docs.select(key, text).filter(F.length(text) <= SAMPLE_CHARS).join(F.broadcast(first), key).select(key, text).limit(2 * bound).collect()
+    usable = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).filter((F.col("label") == value) & F.col("key").isNotNull() & ~held_out(F.col("key")))
+    first = usable.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(bound)
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
+    rows = texts.join(F.broadcast(first), "key").groupBy("key").agg(F.min("text").alias("text")).collect()
     return [r[1] for r in sorted(rows, key=lambda r: (r[0], r[1]))]
 
 
@@ -235,7 +251,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def without(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents that aren't toxic, with all their columns."""
+    """The documents that aren't toxic, with all their columns, whatever these are called.
+
+    A null text is an empty one, which stays; rows are judged one by one, so repeated rows share their fate; an empty table
+    gives no rows.
+    """
     ship(docs.sparkSession)
 
     @F.pandas_udf("double")

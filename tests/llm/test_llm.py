@@ -200,12 +200,55 @@ def test_short_quotes_are_linked_within_their_conversation(spark):
     assert got[1, 2] == (1, 1, 0, True) and got[2, 0] == (0, None, None, False) and got[4, 0] == (1, 3, 0, True)
 
 
-def test_turn_before(spark):
-    rng = random.Random(2)
-    rows = sorted({(rng.randrange(4) if rng.random() < 0.5 else 9, rng.randrange(400)) for _ in range(500)})
-    want = {r: (p[1] if p and p[0] == r[0] else None) for p, r in zip([None, *rows], rows, strict=False)}
-    got = {(r.vc, r.vt): r.previous for r in quotes.before(spark.createDataFrame(rows, "conv long, turn long").repartition(5)).collect()}
-    assert got == want
+def threads_by_force(rows):
+    """Parents, roots and positions of messages (conv, turn, text) by looking at every earlier message for every quote."""
+    rows = sorted((c, t, *quotes.parse(x or "")) for c, t, x in rows)
+    parent, linked = {}, {}
+    for c, t, _, found in rows:
+        best, n = None, 0
+        for level, passage in found:
+            sources = []
+            for rank, unit in enumerate(quotes.units(passage)):
+                held = [(a, b) for a, b, body, _ in rows if unit in quotes.units(body)]
+                own = [b for a, b in held if a == c]
+                short = unit[0] in (quotes.SHORT, quotes.SHORT_WHOLE)
+                if own and min(own) < t and unit[0] != quotes.SHORT_WHOLE:
+                    sources.append(((not short, 1, -rank), (1, c, min(own))))
+                elif unit[0] != quotes.SHORT and (other := [x for x in held if x[0] != c]):
+                    sources.append(((not short, 0, -rank), (0, *min(other))))
+            if sources:
+                n += 1
+                source = max(sources)[1]
+                if source[1:] < (c, t):
+                    best = max(best or (-99,), (-level, source))
+        turns = [b for a, b, *_ in rows if a == c and b < t]
+        parent[c, t] = best[1][1:] if best else (c, max(turns)) if turns else None
+        linked[c, t] = (n, best is not None)
+    root = {}
+    for k in parent:
+        r = k
+        while parent[r]:
+            r = parent[r]
+        root[k] = r
+    return {k: (*linked[k], *(parent[k] or (None, None)), *root[k], sum(root[o] == root[k] and o < k for o in root)) for k in root}
+
+
+def test_threads_match_brute_force(spark):
+    rng = random.Random(5)
+    said = [[f"{w} {prose(rng, rng.randrange(1, 6))}" for w in "abcdefgh"[: rng.randrange(2, 9)]] for _ in range(12)]
+    rows = []
+    for c, lines in enumerate([*said, *said[:4]]):  # some conversations open alike
+        for t in range(len(lines) + 12 * (c == 3)):
+            quote = rng.choice(said[rng.randrange(12)] if rng.random() < 0.3 else lines)
+            text = lines[t] if t < len(lines) else prose(rng, 5)
+            rows.append((c, 2 * t, "Ann wrote:\n> " + quote + rng.choice(["", "\n>> " + rng.choice(lines)]) + "\n" + text if rng.random() < 0.6 else text))
+    rows += [(99, t, "x" * 40_000 if t == 7 else f"> {'x' * 40_000}\nlong" if t == 30 else f"turn {t} says so") for t in range(40)]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(5)
+    columns = "n_linked linked reply_conv reply_turn root_conv root_turn position".split()
+    got = {(r.conv_id, r.turn): tuple(r[k] for k in columns) for r in quotes.conversations(df).collect()}
+    assert got == threads_by_force(rows) and got[99, 30][1:4] == (True, 99, 7)
+    order = {k: (v[4], v[5], v[6]) for k, v in got.items()}
+    assert all(order[k] > order[v[2], v[3]] for k, v in got.items() if v[2] is not None) and len(set(order.values())) == len(order)
 
 
 # ---- byte pairs ----------------------------------------------------------------------------------------------------
@@ -376,7 +419,7 @@ def test_quality_columns_equal_the_model(spark):
     assert 0 < len(model.rules) < 120 and ((model.score(x) >= 0.5) == y).mean() > 0.95
     texts = [*ODD, "LOUD!! WORDS!! HERE!!", "a | b | c | d", "same same same same same"]
     got = {r.doc_id: r.score for r in quality.score(docs(spark, texts), model).collect()}
-    stats = quality.with_statistics(docs(spark, texts)).select("doc_id", *(f"__stats.{n}" for n in quality.NAMES)).collect()
+    stats = quality.with_statistics(docs(spark, texts).select("doc_id", "text"), F.col("text")).select("doc_id", *(f"stats.{n}" for n in quality.NAMES)).collect()
     assert all(tuple(r[1:]) == (0.0,) * len(quality.NAMES) for r in stats if not texts[r.doc_id])
     for r in stats:
         assert got[r.doc_id] == pytest.approx(float(model.score(np.array([r[1:]], dtype=float))[0]))
@@ -392,6 +435,20 @@ def test_quality_on_held_out_labels(spark):
     assert quality.fit(d.limit(0), labels.limit(0)).rules == []
 
 
+CLASH = "doc_id long, text string, __n int, n int, words int, stats int, row int, __text string, score double, key long, label int, held_out int, `a.b` int"
+
+
+def test_filters_keep_clashing_columns(spark):
+    rows = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5, "t", 0.5, 6, 7, 8, 9) for i, t in [*enumerate(ODD), (4, "another text under this key"), (4, "another text under this key"), (None, "x")]], CLASH)
+    labels = spark.createDataFrame([(4, 1, 0), (4, 1, 0), (7, 0, 1), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    model = quality.Model([(((1, True, 2.0),), 6.0)], -3.0)
+    for kept in (quality.good(rows, model), toxicity.without(rows, toxicity.train(labelled(random.Random(8), 40, True), labelled(random.Random(9), 80, False))), secrets.redacted(rows), minhash.deduplicated(rows)):
+        assert kept.columns == rows.columns and kept.limit(0).count() == 0 and kept.select(*(f"`{c}`" for c in rows.columns[2:])).distinct().count() == 1
+    assert sorted(r.doc_id for r in quality.good(rows, model).collect()) == [4, 4, 5, 8] or quality.good(rows, model).count() == 5
+    assert quality.fit(rows, labels).rules == quality.fit(rows.repartition(7), labels).rules and 0 <= toxicity.fit(rows, labels).score("x") <= 1
+    assert quality.score(rows, model).count() == rows.count() == toxicity.score(rows, toxicity.train([], [])).count() == secrets.scan(rows).count()
+
+
 def test_quality_runs_without_python(spark):
     plan = quality.score(docs(spark, ["a"]), quality.Model([(((0, True, 1.0),), 1.0)], 0.0))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -461,6 +518,43 @@ def test_main_text():
     assert htmltext.extract("<article><p>a<b>b</article>") == "ab" and isinstance(htmltext.extract("<<<>&#xZ;<p"), str)
 
 
+def test_adverts_and_hidden_text_within_lines():
+    p = lambda x: htmltext.extract(f"<article><p>Before {x} after, all of it one long line of text.</p></article>")
+    whole = "Before after, all of it one long line of text."
+    assert p('<span class="ad">Buy <span>now</span> cheap</span>') == whole
+    assert p("<span hidden>secret</span>") == whole and p("<select><option>one<option>two</select>") == whole
+    assert p("<button>Press</button><script>x()</script>") == whole and p("<i>or</i>") == "Before or after, all of it one long line of text."
+    assert p('<a class="ad">Buy') == "Before" and p("<b>x<i>y</b>z</i>") == "Before xyz after, all of it one long line of text."
+
+
+def test_class_words_support_only():
+    body = lambda kind: htmltext.extract(f'<html><body><div class="{kind}"><p>{"A paragraph of the study that is long enough. " * 4}</p><p>{"And one more of these, as long as that. " * 4}</p></div></body></html>')
+    assert all(body(k) for k in ("search-results-study", "social-history", "shareholder-news", "post", "notice-theory"))
+    assert not any(body(k) for k in ("comments", "ad-slot-3", "cookie-banner", "related-posts", "share", "site_footer", "newsletterSignup"))
+
+
+def test_pages_without_an_article():
+    menu = "<ul>" + "<li><a href=x>Item</a></li>" * 12 + "</ul>"
+    page = f"<html><body>{menu}<div>{'<p>' + 'A sentence of the body. ' * 6 + '</p><p>Short.</p><p>' + 'Another sentence here. ' * 6 + '</p>'}</div>{menu}</body></html>"
+    found = htmltext.extract(page)
+    assert found == "\n".join([" ".join(["A sentence of the body."] * 6), "Short.", " ".join(["Another sentence here."] * 6)])
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a b='", "<!--", "</", "<b>", "<b><hr>", "</i><b>", "<p><i>", "&", "<![CDATA[", "<!x ", "<script>", "<a <b>", "<div>", "</div>", "x < y ", "<?"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    began = time.thread_time()
+    found = htmltext.extract("<p>A line of text that comes first</p>" + piece * 40_000)
+    assert time.thread_time() - began < 6 and "comes first" in found
+    assert "A line" in htmltext.extract("<article><p>A line</p>" + "<p>word " * 20_000 + "</article>")
+
+
+def test_unfinished_markup():
+    assert htmltext.extract("<p>One line here</p><p>Two &amp; more <a href='x") == "One line here\nTwo & more"
+    assert htmltext.extract("<p>One line here</p><!-- never closed <p>gone</p>") == "One line here" and htmltext.extract("<p>a &lt; b &am") == "a < b &am"
+
+
 def test_pages_table(spark):
     rows = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "w", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     out = {r.page_id: (r.url, r.text, r.n_chars) for r in htmltext.main_text(rows).collect()}
@@ -484,11 +578,79 @@ def test_base_spans():
     assert secrets.base_spans("") == []
 
 
+def base_by_force(t):
+    """The contract's patterns read letter by letter, without regular expressions."""
+    out = []
+    low, n = t, len(t)
+    same = lambda x, w: len(x) == len(w) and all(a.isascii() and a.lower() == b for a, b in zip(x, w, strict=True))
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    at = 0
+    while at < n:
+        for w in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not same(low[at : at + len(w)], w):
+                continue
+            i = at + len(w)
+            i += i < n and t[i] in "\"'"
+            while i < n and t[i] == " ":
+                i += 1
+            if i >= n or t[i] not in ":=":
+                continue
+            i += 1
+            while i < n and t[i] == " ":
+                i += 1
+            i += i < n and t[i] in "\"'"
+            e = i
+            while e < n and t[e] in value:
+                e += 1
+            if e == i:
+                continue
+            if e - i >= 6:
+                out.append((at, 0, e))
+            at = e - 1
+            break
+        at += 1
+    for kind, head, letters, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), (2, "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < n:
+            e = at + len(head)
+            while t.startswith(head, at) and e < n and t[e] in letters:
+                e += 1
+            if t.startswith(head, at) and e > at + len(head):
+                if e - at >= least:
+                    out.append((at, kind, e))
+                at = e
+            else:
+                at += 1
+    return [(s, e, secrets.KINDS[k]) for s, k, e in sorted(out)]
+
+
+def test_base_spans_match_brute_force(spark):
+    rng = random.Random(6)
+    parts = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "api-key", '"', "'", " ", "  ", ":", "=", "abc", "hunter2", "Xy9/+_.=-", "AKIA", "AKIAABCDEFGHIJ", "KLMNOP12", "0123456789ab", "cdef", "é", "\n", "ſecret", "token:", "="]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(4000)] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for t in texts:
+        assert secrets.base_spans(t or "") == base_by_force(t or ""), t
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    model = secrets.train(secrets.random_strings(random.Random(1), 500), secrets.identifiers(random.Random(1), 500, secrets.WORDS))
+    one = "token=abcdef12345 q8Zr2LxW0pTn5VbK7cYd9HsJ " + "0123456789abcdef" * 2 + " "
+    took = []
+    for n in (2000, 8000):
+        began = time.thread_time()
+        assert len(secrets.spans(one * n, model)) == 3 * n
+        took.append(time.thread_time() - began)
+    assert took[1] < 9 * took[0]
+
+
 def test_models_tell_random_from_ordinary():
     rng = random.Random(99)
     words = secrets.WORDS + [w for w in WORDS if len(w) > 2]
     model = secrets.train(secrets.random_strings(random.Random(1), 4000), secrets.identifiers(random.Random(1), 4000, words))
-    hidden = [s for s in secrets.random_strings(rng, 400) if any(c.isdigit() for c in s) and any(c.isalpha() for c in s)]
+    hidden = [s for s in secrets.random_strings(rng, 400) if any(c.isalpha() for c in s)] + ["qZrLxWpTnVbKcYdHsJgQw", "xkQvZtPwLmRjBnHsYcDf"]
+    assert model.is_random(hidden[-1]) and not model.is_random("internationalisation_of_names") and not model.is_random("----------------------")
     ordinary = [s for s in secrets.identifiers(rng, 800, words) if len(s) >= 20]
     assert sum(map(model.is_random, hidden)) >= 0.93 * len(hidden) and sum(map(model.is_random, ordinary)) <= 0.02 * len(ordinary)
 
@@ -500,6 +662,8 @@ def test_secrets_table(spark):
     model = secrets.fit(rows)
     out = {r.doc_id: r for r in secrets.scan(rows, model=model).collect()}
     n = len(ODD)
+    overlapping = "x" + "0123456789abcdef" * 2 + "Zq8r2LxW0pTn"
+    assert secrets.redact(f"see {overlapping} there", model) == "see [random removed] there"
     assert out[n].spans == "random:10:34" and out[n + 1].spans == "assign:0:22" and out[n + 2].spans == "" and out[0].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert out[n + 1].base_sha256 == hashlib.sha256(b"assign:0:22").hexdigest() and (out[n + 1].n_assign, out[n].n_assign) == (1, 0)
     clean = {r.doc_id: r.text for r in secrets.redacted(rows, model=model).collect()}
