@@ -6,7 +6,7 @@ first. An element whose next arrival comes after the last register was taken is
 draws. The share of equal registers estimates the probability Jaccard similarity of two texts.
 
 Bands of registers give buckets. Within a bucket every text is first verified against one member alone, the one that
-meets the most others in its buckets, which is linear however large the bucket, and the links are united. Where the other
+meets the most others in its buckets, by registers first, which is linear however large the bucket, and the links united. Where the other
 members of a bucket then lie in several components, those outside of its largest component are compared with all members
 by a longer sketch, a byte for each of its registers and no texts. Only members that agree enough with another to be its
 near-duplicate come with their texts then, and are verified in blocks that return a spanning forest of their links. A pair
@@ -147,7 +147,10 @@ def _recent(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, digest, keys) of every document; empty texts have no digest, texts without words no keys."""
+    """(id, digest, keys, low) of every document: band keys and the lowest byte of each register.
+
+    Empty texts have no digest, texts without words no keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own("minhash")
@@ -155,17 +158,19 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
             for batch in slices(whole, 1):
                 texts = batch.column(1).to_pylist()
                 sets = [shingles(t) for t in texts]
-                keys = band_keys(signatures(sets))
+                held = signatures(sets)
+                keys = band_keys(held)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
                         pa.array([hashlib.md5(t.encode(), usedforsecurity=False).digest() if t else None for t in texts], type=pa.binary()),
                         pa.array([k if len(s[0]) else None for k, s in zip(keys, sets, strict=True)], type=pa.list_(pa.int64())),
+                        pa.array([h.tobytes() if len(s[0]) else None for h, s in zip(held.astype(np.uint8), sets, strict=True)], type=pa.binary()),
                     ],
-                    names=["id", "digest", "keys"],
+                    names=["id", "digest", "keys", "low"],
                 )
 
-    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id bigint, digest binary, keys array<bigint>")
+    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id bigint, digest binary, keys array<bigint>, low binary")
 
 
 def fine_sketch(texts: DataFrame) -> DataFrame:
@@ -184,15 +189,15 @@ def fine_sketch(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, keys binary, held binary, size bigint")
 
 
-def narrowed(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose id may be one of ``ids``, so that a join moves few texts that it doesn't need.
+def narrowed(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``rows`` whose id may be one of ``ids``, so that a join moves few rows that it doesn't need.
 
     The filter is a bit set of fixed size as a table of words, FILTER_BITS / 32 at most, which is sent to every task;
     false positives are joined away later.
     """
     place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     words = ids.select(place.alias("p")).groupBy(F.expr("p div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("bits"))
-    placed = texts.withColumn("p", place).withColumn("w", F.expr("p div 32"))
+    placed = rows.withColumn("p", place).withColumn("w", F.expr("p div 32"))
     found = placed.join(F.broadcast(words), (F.col("w") == F.col("word")) & (F.expr("shiftright(bits, cast(p % 32 as int)) & 1") == 1), "left_semi")
     return found.drop("p", "w")
 
@@ -204,6 +209,21 @@ def texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     return rows.join(named, (F.col("id") == F.col("least")) & (F.col("of") == F.col("digest"))).select("node", "text")
 
 
+def likely(pairs: DataFrame, drawn: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose registers agree no less than four standard deviations below ``threshold``; ``drawn`` has node and low."""
+    least = threshold - margin(threshold, REGISTERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            x, y = (np.frombuffer(b"".join(rows.column(i).to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS) for i in (2, 3))
+            keep = pa.array((x == y).mean(axis=1) >= least, type=pa.bool_())
+            yield pa.RecordBatch.from_arrays([rows.column(0).filter(keep), rows.column(1).filter(keep)], names=["a", "b"])
+
+    left, right = drawn.select("node", "low").toDF("na", "la"), drawn.select("node", "low").toDF("nb", "lb")
+    both = pairs.join(left, F.col("a") == F.col("na")).select("a", "b", "la").join(right, F.col("b") == F.col("nb"))
+    return both.select("a", "b", "la", "lb").mapInArrow(run, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose whole texts have a similarity of ``threshold`` or more."""
 
@@ -331,19 +351,21 @@ def marked(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     # A node is a text; it is named by the row that has it with the smallest key.
     named = sketches.filter("id is not null and digest is not null").groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"))
     nodes = stored(named.select("digest", F.col("first.id").alias("least"), F.col("first.row").alias("node")))
-    banded = sketches.filter("keys is not null").join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), F.explode("keys").alias("key"))
+    drawn = stored(sketches.filter("keys is not null").join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "keys", "low"))
+    banded = drawn.select("node", F.explode("keys").alias("key"))
     sizes = stored(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("key", "k"))
-    shared = stored(banded.join(sizes, F.col("key") == F.col("k")).select("key", "node", "n"))
+    often = narrowed(banded.withColumnRenamed("key", "id"), sizes.select(F.col("k").alias("id")))  # most keys are of one text
+    shared = stored(often.join(sizes, F.col("id") == F.col("k")).select(F.col("id").alias("key"), "node", "n"))
     met = shared.groupBy("node").agg(F.sum("n").alias("met")).withColumnRenamed("node", "i")
     pivots = stored(shared.join(met, F.col("node") == F.col("i")).groupBy("key").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("pivot")).withColumnRenamed("key", "k"))
     # Of a bucket of two the pivot's pair is the only one; the pivot's pairs need no other check than their verification.
     members = stored(shared.join(pivots, F.col("key") == F.col("k")).filter("node <> pivot").select("key", "node", "pivot", "n"))
     discard(sizes, shared, pivots)
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    pairs = stored(members.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+    pairs = stored(likely(members.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), drawn, threshold))
     links = stored(verified(pairs, nodes, texts, threshold))
     more = further_links(members.filter("n > 2").select("key", "node"), links, nodes, texts, threshold)
-    discard(members, pairs)
+    discard(members, pairs, drawn)
     components = connected_components(links.unionByName(more)).toDF("member", "component")
     grouped = stored(nodes.join(components, F.col("node") == F.col("member")).select("node", "least", "digest", "component"))
     firsts = stored(grouped.groupBy("component").agg(F.min(F.struct("least", "digest")).alias("first")).withColumnRenamed("component", "c"))
