@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,20 +22,21 @@ def reverse(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """All (src, dst) with a path from src to dst; a node never reaches itself, not even in a cycle.
 
-    Semi-naive: a round joins only the pairs that the round before found, so every pair is extended once. Edges are
-    first joined with themselves, which halves the rounds.
+    Semi-naive: a round joins only the pairs that the round before found, so every pair is extended once, and each round's
+    new pairs are a table of their own, so every pair is written once. Edges are first joined with themselves, which
+    halves the rounds.
     """
     step = cut(adjacency(edges))
     twice = step.join(step.toDF("mid", "far"), F.col("dst") == F.col("mid")).select("src", F.col("far").alias("dst"))
     step = cut(step.union(twice).filter("src <> dst").distinct())
-    known = new = step
+    rounds, new = [step], step
     hop = step.toDF("mid", "far")
     while not new.isEmpty():
         found = new.join(hop, F.col("dst") == F.col("mid")).select("src", F.col("far").alias("dst")).filter("src <> dst").distinct()
-        old = known.toDF("old_src", "old_dst")
+        old = reduce(DataFrame.union, rounds).toDF("old_src", "old_dst")
         new = cut(found.join(old, (F.col("src") == F.col("old_src")) & (F.col("dst") == F.col("old_dst")), "left_anti"))
-        known = cut(known.union(new))
-    return known
+        rounds.append(new)
+    return reduce(DataFrame.union, rounds)
 
 
 def core(edges: DataFrame) -> DataFrame:

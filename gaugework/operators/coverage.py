@@ -11,6 +11,12 @@ from gaugework.operators import policy as P
 
 DEFAULT_CRAP_LIMIT = 8.0
 
+# The texts of findings.
+UNMEASURED = "the coverage profile describes no statement of %s.%s, so it has no CRAP score"
+RISKY = '%s.%s has a CRAP score of %.2f, outside the %s limit %.2f from policy "%s"'
+UNCOVERED = 'statement coverage %.2f%% is below the %.2f%% limit from policy "%s"'
+RUN_FAILED = "the test run failed, so the coverage profile is incomplete"
+
 
 def per_file(blocks: DataFrame) -> DataFrame:
     """(file, statements, covered, percent); a file without statements has 0."""
@@ -59,12 +65,12 @@ def risk(functions: DataFrame, blocks: DataFrame) -> DataFrame:
 def risk_findings(risks: DataFrame, policies: list[P.PathPolicy], default: float = DEFAULT_CRAP_LIMIT) -> DataFrame:
     """Functions over the limit of their policy, or over the default, and functions that aren't measured."""
     unmeasured = risks.filter(~F.col("measured"))
-    out = E.finding(unmeasured, F.concat(F.lit("crap:unmeasured:"), "identity"), "indeterminate-crap-score", F.col("file"), "warning", F.format_string("the coverage profile describes no statement of %s.%s, so it has no CRAP score", "package", "name"))
+    out = E.finding(unmeasured, F.concat(F.lit("crap:unmeasured:"), "identity"), "indeterminate-crap-score", F.col("file"), "warning", F.format_string(UNMEASURED, "package", "name"))
     rows = P.resolve(risks.filter("measured").select("identity", F.col("file").alias("path"), F.lit("crap.score").alias("name"), F.col("name").alias("fn"), "package", F.col("score").alias("value")), policies)
     fallback = F.struct(F.lit("default").alias("policy"), F.lit("maximum").alias("comparison"), F.lit(default).alias("value"), F.lit("error").alias("severity"))
     over = P.violations(rows.withColumn("threshold", F.when(F.size("candidates") == 0, fallback).otherwise(F.col("threshold"))))
     t = F.col("threshold")
-    message = F.format_string('%s.%s has a CRAP score of %.2f, outside the %s limit %.2f from policy "%s"', "package", "fn", "value", t["comparison"], t["value"], t["policy"])
+    message = F.format_string(RISKY, "package", "fn", "value", t["comparison"], t["value"], t["policy"])
     return out.unionByName(E.finding(over, F.concat_ws(":", F.lit("crap"), t["policy"], "identity"), "maximum-crap-score", F.col("path"), t["severity"], message, F.col("value"), t["value"]))
 
 
@@ -79,11 +85,11 @@ def coverage_findings(files: DataFrame, policies: list[P.PathPolicy], run_failed
     """Files under the limit of their policy, and the failure of the test run if it failed."""
     rows = P.violations(P.resolve(files.select(F.col("file").alias("path"), F.lit("coverage.percent").alias("name"), F.col("percent").alias("value")), policies))
     t = F.col("threshold")
-    message = F.format_string('statement coverage %.2f%% is below the %.2f%% limit from policy "%s"', "value", t["value"], t["policy"])
+    message = F.format_string(UNCOVERED, "value", t["value"], t["policy"])
     out = E.finding(rows, F.concat_ws(":", F.lit("coverage"), t["policy"], "path"), "minimum-path-coverage", F.col("path"), t["severity"], message, F.col("value"), t["value"])
     if run_failed:
         one = files.sparkSession.range(1)
-        out = out.unionByName(E.finding(one, F.lit("coverage:go-test-run"), "go-test-run", F.lit(""), "error", F.lit("the test run failed, so the coverage profile is incomplete")))
+        out = out.unionByName(E.finding(one, F.lit("coverage:go-test-run"), "go-test-run", F.lit(""), "error", F.lit(RUN_FAILED)))
     return out
 
 

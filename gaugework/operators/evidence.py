@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugework.errors import AlreadyExistsError, NotFoundError, PreconditionFailedError, ValidationError
+from gaugework.functions.checkpoint import cut
 from gaugework.schemas import SEVERITIES
 
 
@@ -46,7 +47,7 @@ def problems(report: Report) -> DataFrame:
 
 
 def validate(report: Report) -> Report:
-    first = problems(report).orderBy("table", "id", "problem").first()
+    first = problems(report).agg(F.min(F.struct("table", "id", "problem")).alias("first")).first().first
     if first:
         raise ValidationError(f"{report.name} gives {first.table} {first.id!r} with {first.problem}", report=report.name)
     return report
@@ -90,8 +91,6 @@ def numbered(findings: DataFrame) -> DataFrame:
 
 def place(df: DataFrame, order: list[str | Column], name: str = "place") -> DataFrame:
     """``df`` with the place of each row in ``order``, from 0. Rows are ranged by the first keys, ranked within a range, and offset by what lies before."""
-    from gaugework.functions.checkpoint import cut
-
     ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id()))
     sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))  # a row for each partition
     before = sizes.select(F.col("__range").alias("__r"), (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
@@ -104,7 +103,10 @@ Evaluator = Callable[[], Report]
 
 @dataclass
 class Catalog:
-    """Evaluators by unique name; they run in the order of their names, and the first failure ends a run."""
+    """Evaluators by unique name; they run in the order of their names, and the first failure ends a run.
+
+    A report is computed once, when it is validated; what counts or prints it reads the cut tables.
+    """
 
     evaluators: dict[str, Evaluator] = field(default_factory=dict)
 
@@ -127,5 +129,5 @@ class Catalog:
             report = self.evaluators[n]()
             if report.name != n:
                 raise ValidationError(f"evaluator {n!r} gave a report named {report.name!r}")
-            out.append(validate(report))
+            out.append(validate(Report(n, cut(report.metrics), cut(report.findings))))
         return out

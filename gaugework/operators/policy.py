@@ -15,6 +15,10 @@ from gaugework.functions.metrics import passes
 from gaugework.operators import rules as R
 from gaugework.schemas import COMPARISONS, SEVERITIES
 
+# Fixed value: the text of a finding.
+PROHIBITED = 'Dependency rule "%s" prohibits this relationship: %s'
+
+
 
 @dataclass(frozen=True)
 class Selector:
@@ -87,7 +91,7 @@ def configured_findings(rels: DataFrame, components: DataFrame, policy: Dependen
     granted = reduce(lambda a, b: a | b, (r.holds(s, t) for r in policy.allow), F.lit(False))
     default = F.when(F.col("test_only"), F.lit(policy.test_allowed)).otherwise(F.lit(policy.production_allowed))
     rows = joined.withColumn("denial", denial).filter(F.col("denial").isNotNull() | ~(default | granted))
-    message = F.when(F.col("denial").isNotNull(), F.format_string('Dependency rule "%s" prohibits this relationship: %s', F.col("denial.id"), F.col("denial.reason"))).otherwise("The configured dependency policy does not grant this relationship.")
+    message = F.when(F.col("denial").isNotNull(), F.format_string(PROHIBITED, F.col("denial.id"), F.col("denial.reason"))).otherwise("The configured dependency policy does not grant this relationship.")
     return R.finding(rows, R.CONFIGURED, "error", F.concat_ws(" -> ", "source", "target"), message, F.col("source"), F.col("target"))
 
 

@@ -9,6 +9,9 @@ from gaugework.errors import ValidationError
 from gaugework.functions.checkpoint import cut
 from gaugework.operators import evidence as E
 
+# Fixed value: the text of a finding.
+RESEMBLES = "%s:%d-%d resembles %s:%d-%d with %.3f similarity"
+
 
 def admitted(functions: DataFrame, least_lines: int, least_nodes: int) -> DataFrame:
     """Functions with a body of enough lines and syntax nodes; filtered before fingerprints are made."""
@@ -63,7 +66,7 @@ def over_budget(found: DataFrame, budget: int) -> DataFrame:
 def duplication_findings(found: DataFrame, budget: int, threshold: float) -> DataFrame:
     rows = over_budget(found, budget)
     ident = F.concat_ws(":", F.lit("duplication"), "left_file", F.col("left_start_line").cast("string"), "right_file", F.col("right_start_line").cast("string"))
-    message = F.format_string("%s:%d-%d resembles %s:%d-%d with %.3f similarity", "left_file", "left_start_line", "left_end_line", "right_file", "right_start_line", "right_end_line", "score")
+    message = F.format_string(RESEMBLES, "left_file", "left_start_line", "left_end_line", "right_file", "right_start_line", "right_end_line", "score")
     return E.finding(rows, ident, "structural-duplication", F.col("left_file"), "error", message, F.col("score"), F.lit(threshold))
 
 

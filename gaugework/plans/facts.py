@@ -21,9 +21,9 @@ FACTS: dict[str, str] = {
     "source_files": """
         SELECT 'f' || CAST(o_orderkey AS STRING) AS path, 'p' || CAST(c_custkey % 50 AS STRING) AS package, n_name AS component, o_orderkey % 5 = 0 AS test,
           CAST(CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey % 3 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS abstract_types, CAST(CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey % 3 <> 0 THEN 0 ELSE 1 END AS BIGINT) AS concrete_types
-        FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey WHERE n_nationkey <> 24""",
+        FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey WHERE n_nationkey <> 24""",  # a gap that is wanted: one component owns no file, as one that is only imported does
     "source_imports": """
-        SELECT 'f' || CAST(l_orderkey AS STRING) AS path, 'p' || CAST(c_custkey % 50 AS STRING) AS source_package, 'q' || CAST(l_suppkey AS STRING) AS target_package, cn.n_name AS source, sn.n_name AS target,
+        SELECT 'f' || CAST(l_orderkey AS STRING) AS path, 'p' || CAST(c_custkey % 50 AS STRING) AS source_package, 'q' || CAST(l_suppkey AS STRING) AS target_package, CASE WHEN c_nationkey = 3 THEN sn.n_name ELSE cn.n_name END AS source, sn.n_name AS target,
           CAST(l_linenumber AS BIGINT) AS line, CASE WHEN l_tax > 0.05 THEN 'alias' ELSE '' END AS alias, (c_nationkey + s_nationkey) % 5 = 0 OR l_returnflag = 'R' AS test
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey
           JOIN {nation} cn ON cn.n_nationkey = c_nationkey JOIN {nation} sn ON sn.n_nationkey = s_nationkey
@@ -39,7 +39,7 @@ FACTS: dict[str, str] = {
         SELECT 'pkg' || CAST(u % 10 AS STRING) || '.Fn' || CAST(u AS STRING) AS source, CASE WHEN e % 97 = 0 THEN 'ext.Unknown' ELSE 'pkg' || CAST(t % 10 AS STRING) || '.Fn' || CAST(t AS STRING) END AS target, test,
           'src' || CAST(u AS STRING) || '.x' AS path, CAST(e % 50 AS BIGINT) AS line, CAST(e % 7 AS BIGINT) AS column
         FROM (SELECT u, e, test, CASE WHEN e % 11 = 0 AND u < 100 THEN u + 100 WHEN (u - u % 20) % 40 = 0 THEN u - u % 20 + (u % 20 + e % 4) % 20 WHEN u % 20 + e % 4 > 19 THEN u - u % 20 + 19 ELSE u + e % 4 END AS t
-          FROM (SELECT user_id % 200 AS u, event_id AS e, event_type = 'signup' AS test FROM {events} WHERE event_id % 3 = 0) refs) places""",
+          FROM (SELECT user_id % 200 AS u, event_id AS e, event_type = 'signup' AS test FROM {events}) refs) places""",
     "loc_files": """
         SELECT source || '/' || lang || '/d' || CAST(doc_id AS STRING) || '.x' AS path, source || '/' || lang AS package_dir, source AS module_dir, 'example.com/' || source AS module_path, doc_id % 7 = 0 AS test, doc_id % 11 = 0 AS generated,
           CAST(n + 3 AS BIGINT) AS total, CAST(n + 3 - (n + 3) % 3 - (n + 3) % 2 AS BIGINT) AS code, CAST((n + 3) % 3 AS BIGINT) AS comment, CAST((n + 3) % 2 AS BIGINT) AS blank
@@ -51,16 +51,16 @@ FACTS: dict[str, str] = {
     "coverage_blocks": """
         SELECT 'f' || CAST(l_orderkey AS STRING) AS file, CAST(l_linenumber * 3 AS BIGINT) AS start_line, CAST(l_linenumber * 3 + l_partkey % 4 AS BIGINT) AS end_line, CAST(l_quantity AS BIGINT) - CAST(l_quantity AS BIGINT) % 5 AS num_stmt,
           CAST(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS BIGINT) AS count
-        FROM {lineitem} WHERE l_orderkey % 3 <> 0""",
+        FROM {lineitem} WHERE l_orderkey % 3 <> 0""",  # a gap that is wanted: a profile leaves files out, and these are unmeasured
     "function_complexity": """
         SELECT 'f' || CAST(l_orderkey AS STRING) AS file, 'F' || CAST(l_linenumber AS STRING) AS name, 'p' || CAST(l_suppkey AS STRING) AS package, CAST(l_linenumber * 3 - 1 AS BIGINT) AS start_line,
           CAST(l_linenumber * 3 + l_suppkey % 5 AS BIGINT) AS end_line, CAST(1 + l_partkey % 15 AS BIGINT) AS complexity
-        FROM {lineitem} WHERE l_orderkey % 7 < 3""",
+        FROM {lineitem}""",
     "mutation_tokens": """
         SELECT 'f' || CAST(l_orderkey AS STRING) AS file, CAST(l_linenumber * 3 AS BIGINT) AS line, CAST(l_partkey AS BIGINT) AS column,
           CASE l_partkey % 17 WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN '*' WHEN 3 THEN '>' WHEN 4 THEN '>=' WHEN 5 THEN '<' WHEN 6 THEN '<=' WHEN 7 THEN '==' WHEN 8 THEN '!=' WHEN 9 THEN '&&' WHEN 10 THEN '||' WHEN 11 THEN '0'
             WHEN 12 THEN '1' WHEN 13 THEN 'true' WHEN 14 THEN 'false' WHEN 15 THEN '%' ELSE '2' END AS original
-        FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM {lineitem} WHERE l_orderkey % 5 < 2) picked""",
+        FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM {lineitem}) picked""",
     "shapes": """
         SELECT CAST(p_partkey AS BIGINT) AS ord, 'part' || CAST(p_partkey AS STRING) || '.x' AS file, CAST(p_size AS BIGINT) AS start_line, CAST(p_size + p_partkey % 30 AS BIGINT) AS end_line, CAST(p_partkey % 60 AS BIGINT) AS nodes,
           p_partkey % 13 <> 0 AS has_body

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions import globs
 from gaugework.functions import metrics as M
+from gaugework.functions.checkpoint import cut
 from gaugework.operators import coverage as Cov
 from gaugework.operators import evidence as E
 from gaugework.operators import loc as L
@@ -209,13 +210,19 @@ query("agg_26", "SELECT ord, count(DISTINCT fingerprint) AS n FROM {fingerprints
 
 def reports(c: Context) -> E.Catalog:
     catalog = E.Catalog()
-    found = lambda: Cov.per_file(blocks(c))
-    catalog.register("coverage", lambda: E.Report("coverage", Cov.coverage_metrics(found()), Cov.coverage_findings(found(), POLICIES)))
-    catalog.register("crap", lambda: (lambda r: E.Report("crap", Cov.risk_metrics(r), Cov.risk_findings(r, POLICIES)))(Cov.risk(c.fact("function_complexity"), blocks(c))))
-    catalog.register("duplication", lambda: (lambda d: E.Report("duplication", Si.duplication_metrics(d), Si.duplication_findings(d, 5, 0.85)))(Si.located(similar(c), c.fact("shapes"))))
+    catalog.register("coverage", lambda: (lambda f: E.Report("coverage", Cov.coverage_metrics(f), Cov.coverage_findings(f, POLICIES)))(cut(Cov.per_file(blocks(c)))))
+    catalog.register("crap", lambda: (lambda r: E.Report("crap", Cov.risk_metrics(r), Cov.risk_findings(r, POLICIES)))(cut(Cov.risk(c.fact("function_complexity"), blocks(c)))))
+    catalog.register("duplication", lambda: (lambda d: E.Report("duplication", Si.duplication_metrics(d), Si.duplication_findings(d, 5, 0.85)))(cut(Si.located(similar(c), c.fact("shapes")))))
     return catalog
 
 
+# An evaluator as a table function: its name in, its rows out, validated.
+query("u_01", f"""SELECT 'metric' AS kind, 'coverage:' || file AS id, file AS path, round(percent, 6) AS value FROM {{o_cov}} UNION ALL SELECT 'metric', 'coverage:overall', '', round(sum(covered) * 100.0 / sum(statements), 6) FROM {{o_cov}}
+    UNION ALL SELECT 'finding', id, path, actual FROM ({COV_SQL}) x WHERE id <> 'coverage:go-test-run'""")(
+    lambda c: (lambda r: r.metrics.select(F.lit("metric").alias("kind"), "id", "path", r6("value").alias("value")).unionByName(r.findings.select(F.lit("finding").alias("kind"), "id", "path", r6("actual").alias("value"))))(reports(c).run(["coverage"])[0])
+)
+
+
 VIEWS["o_check"] = f"""SELECT severity FROM ({RISK_SQL}) a UNION ALL SELECT severity FROM ({COV_SQL}) b WHERE id <> 'coverage:go-test-run' UNION ALL SELECT 'error' FROM ({DUPF_SQL}) d"""
 CHECK_SQL = """SELECT 3::BIGINT AS plugins, (SELECT count(*) FROM {o_cov}) + 1 + (SELECT count(*) + 2 * count(*) FILTER (measured) FROM {o_crap}) + (SELECT count(*) + 1 FROM {o_pair}) AS metrics, count(*) AS findings,
     count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'notice') AS notices FROM {o_check}"""

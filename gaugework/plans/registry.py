@@ -18,22 +18,37 @@ ORACLES: dict[str, str] = {}
 VIEWS: dict[str, str] = {}
 
 
+def stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of a folder's files, as the store that holds them gives them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 class Context:
-    """Facts of one data folder, and the graphs built from them, which are computed once for a Spark application."""
+    """Facts of one data folder, and the graphs built from them, which are computed once for a Spark application.
+
+    A folder whose files have changed since gets a new context.
+    """
 
-    _held: dict[tuple[str, str], Context] = {}
+    _held: dict[tuple, Context] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Context:
-        key = (spark.sparkContext.applicationId, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir))
         if key not in cls._held:
-            cls._held.clear()
+            cls.clear()
             cls._held[key] = cls(spark, sf_dir)
         return cls._held[key]
 
+    @classmethod
+    def clear(cls) -> None:
+        """Forget all graphs, so that the next query computes its own."""
+        cls._held.clear()
+
     def fact(self, name: str) -> DataFrame:
         return facts.fact(self.spark, self.sf_dir, name)
 
