@@ -19,7 +19,6 @@ from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import pairwise
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.shipping import ship
-from gaugework.llm.bpe import little_endian
+from gaugework.llm.bpe import byte_letters, little_endian
 from gaugework.llm.memo import own
 
 WINDOW = 2048
@@ -62,15 +61,15 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = {b: letter for letter, b in byte_letters().items()}
         self.memo: dict[str, bytes] = {}
 
     def _learn(self, missing: list[str]) -> None:
-        """Put words into the memo, all in one call: set apart by spaces, each is one word of the library."""
-        encoded = self.tokenizer.encode(" ".join(missing), add_special_tokens=False)
-        packed = array("I", encoded.ids).tobytes()
-        ends = [4 * k for k, (a, b) in enumerate(pairwise([*encoded.word_ids, -1]), 1) if a != b]
-        for word, start, end in zip(missing, [0, *ends], ends, strict=False):
-            self.memo[word] = packed[start:end]
+        """Put words into the memo. They are in the library's normal form, so each goes to its merges alone, as byte letters."""
+        for word in missing:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            self.memo[word] = array("I", [token.id for token in self.merge(letters)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Packed native 32-bit ids."""
