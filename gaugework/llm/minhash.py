@@ -153,7 +153,7 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own("minhash")
+        own("minhash", _hashes, _recent.cache_clear)
         for whole in batches:
             for batch in slices(whole, 1):
                 texts = batch.column(1).to_pylist()
@@ -177,7 +177,7 @@ def fine_sketch(texts: DataFrame) -> DataFrame:
     """(node, keys, held, size): band keys, the lowest byte of each of FINE registers, and bytes of the texts (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own("minhash")
+        own("minhash", _hashes, _recent.cache_clear)
         for whole in batches:
             for batch in slices(whole, 1):
                 texts = batch.column(1).to_pylist()
@@ -228,7 +228,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: fl
     """The pairs (a, b) whose whole texts have a similarity of ``threshold`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own("minhash")
+        own("minhash", _hashes, _recent.cache_clear)
         for whole in batches:
             for rows in slices(whole, 2, 3):
                 a, b = rows.column(2).to_pylist(), rows.column(3).to_pylist()
@@ -305,7 +305,7 @@ def links_within(rows: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between different components of a bucket, verified on whole texts: a spanning forest for each block."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        own("minhash")
+        own("minhash", _hashes, _recent.cache_clear)
         m, texts, out = Members(pdf, threshold), pdf["text"].tolist(), []
         sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

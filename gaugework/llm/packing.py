@@ -33,7 +33,7 @@ from gaugework.llm.memo import own
 WINDOW = 2048
 POOL = 2048
 END_ID = 1
-MEMO = 500_000
+MEMO = 150_000
 
 _LETTERS = "a-zªµºß-öø-ſ"
 _DIGITS = "0-9²³¹¼½¾"

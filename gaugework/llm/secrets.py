@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions.shipping import ship
 from gaugework.llm.common import map_rows
+from gaugework.llm.memo import own
 
 # The base patterns.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -193,6 +194,7 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Ma
 
     @F.pandas_udf("string")
     def clean(column: pd.Series) -> pd.Series:
+        own("secrets")
         return column.map(lambda t: None if t is None else redact(t, fitted))
 
     return docs.withColumn(text, clean(F.col(text)))
